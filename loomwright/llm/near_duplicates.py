@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for, drop_shuffles, flat, grouped, mix, packed, packed_sorted, sent, stored, texts, unpacked, unpacked_sorted, words
+from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, mix, packed, packed_sorted, sent, stored, texts, unpacked, unpacked_docs, unpacked_sorted, words
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -46,7 +46,7 @@ def _gamma_table(n: int) -> np.ndarray:
 _GAMMA = _gamma_table(1 << 16)
 
 
-def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and count of each distinct shingle of each text, by row and then by hash."""
     row, h = words(*flat(pc.utf8_lower(column)), _APART)
     size = np.bincount(row, minlength=len(column))
@@ -113,6 +113,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _own(docs: pa.Table, right: pa.Table) -> pa.Table:
     """The chunk's documents that stand for their text, by id."""
     keep = pc.unique(right.filter(pc.is_valid(right["rep"]))["rep"])
+    docs = unpacked_docs(docs)
     docs = docs.filter(pc.is_in(docs["doc_id"], keep)).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     ids = docs["doc_id"].to_numpy()
     return docs.filter(pa.array(np.append(True, ids[1:] != ids[:-1]))) if len(ids) else docs
@@ -124,13 +125,13 @@ def _chunk(docs: pa.Table, right: pa.Table) -> int:
 
 def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float) -> DataFrame:
     """doc_id, bands, n, set: of the texts that may have a near-duplicate, their band keys and weighted shingles."""
-    chunks = chunks_for(docs)
-    dealt = docs.select(chunk_of(chunks), "doc_id", "text")
+    chunks, bits = chunks_for(docs), hash_bits(docs)
+    of_chunk = dealt(docs, chunks).groupBy("chunk")
     rep = reps.select(chunk_of(chunks), F.col("doc_id").alias("rep"))
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _own(left, right)
-        _, h, _ = shingles(own["text"].combine_chunks())
+        h = cut_to(shingles(own["text"])[1], bits)
         found, where, _ = grouped(h)
         return sent(found, [np.bincount(where, minlength=len(found)).astype(np.uint32)], _chunk(left, right), chunks)
 
@@ -140,8 +141,8 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _own(left, right)
-        row, h, tf = shingles(own["text"].combine_chunks())
-        found, where, _ = grouped(h)
+        row, h, tf = shingles(own["text"])
+        found, where, _ = grouped(cut_to(h, bits))
         df = answered(right.filter(pc.is_valid(right["kind"])), 0, np.uint32)[0][where]
         w = tf * idf(df, n_texts)
         all_, common = np.bincount(row, w, own.num_rows), np.bincount(row, w * (df > 1), own.num_rows)
@@ -158,10 +159,10 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
         return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary())], schema=_SETS)
 
-    asked = dealt.groupBy("chunk").cogroup(rep.groupBy("chunk")).applyInArrow(send, SENT)
+    asked = of_chunk.cogroup(rep.groupBy("chunk")).applyInArrow(send, SENT)
     answers = stored(asked.groupBy("bucket").applyInArrow(merge, ANSWER), "frequencies")
     right = rep.unionByName(answers, allowMissingColumns=True)
-    sets = dealt.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(sign, "doc_id long, bands array<long>, n int, set binary")
+    sets = of_chunk.cogroup(right.groupBy("chunk")).applyInArrow(sign, "doc_id long, bands array<long>, n int, set binary")
     drop_shuffles(docs.sparkSession)
     return stored(sets, "sets")
 
