@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for, drop_shuffles, flat, grouped, mix, sent, stats_of, stored, texts, words
+from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, mix, sent, stats_of, stored, texts, unpacked_docs, words
 
 BURN_IN, KEPT_SWEEPS = 2, 3
 LARGE = 128
@@ -111,9 +111,9 @@ def seated(customers: np.ndarray, opening: np.ndarray, d: float, seed: int) -> n
 class Chunk:
     """The tokens of a chunk's documents, its distinct words and pairs, and its training counts of both."""
 
-    def __init__(self, docs: pa.Table):
-        docs = docs.combine_chunks()
-        self.ids, self.out = docs["doc_id"], docs["held_out"].to_numpy()
+    def __init__(self, packed: pa.Table, bits: int):
+        docs = unpacked_docs(packed)
+        self.ids, self.out = docs["doc_id"], docs["flag"].to_numpy()
         body, offsets = flat(docs["text"])
         row, h = words(_LOWER[body], offsets, _APART)
         n = docs.num_rows
@@ -129,24 +129,26 @@ class Chunk:
         before[ends - self.sizes] = _START
         train = ~self.out[self.doc] if n else np.zeros(0, bool)
         self.hashes, where, _ = grouped(np.concatenate([token, np.array([_START])]))
+        self.real = self.hashes != _START
         self.start = where[-1]
         self.word = where[:-1].astype(np.int32)
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[ends - self.sizes] = self.start
         self.count = np.bincount(self.word[train], minlength=len(self.hashes)).astype(np.uint32)
-        self.pairs, pair, _ = grouped(mix(before * U64(0x9E3779B97F4A7C15) + token))
+        self.pairs, pair, _ = grouped(cut_to(mix(before * U64(0x9E3779B97F4A7C15) + token), bits))
         self.pair = pair.astype(np.int32)
         self.pair_count = np.bincount(self.pair[train], minlength=len(self.pairs)).astype(np.uint32)
         self.train = train
 
     def expected(self, chunks: int) -> np.ndarray:
-        """For each pair, 8 times the binary logarithm of its expected count were words independent, plus 128, in a byte."""
+        """For each pair, 8 times the binary logarithm of its expected count were words independent, plus 128, in a byte; 0 below 2**-6."""
         as_context = np.bincount(self.context[self.train], minlength=len(self.hashes))
         of = np.zeros(len(self.pairs))
         total = max(1, int(self.train.sum()))
         of[self.pair] = np.maximum(as_context[self.context], 0.5) * chunks * np.maximum(self.count[self.word], 0.5) / total
-        return np.clip(np.round(8 * np.log2(np.maximum(of, 1e-9)) + 128), 0, 255).astype(np.uint8)
+        code = np.clip(np.round(8 * np.log2(np.maximum(of, 1e-9)) + 128), 0, 255)
+        return np.where(code < 80, 0, code).astype(np.uint8)
 
 
 def _id(docs: pa.Table, right: pa.Table) -> int:
@@ -170,24 +172,22 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts by the model of those that are not held out."""
-    rows = texts(docs, held_out.alias("held_out"), id_col=id_col, text_col=text_col)
-    chunks = chunks_for(docs)
-    dealt = rows.select(chunk_of(chunks), "*").groupBy("chunk")
+    chunks, bits = chunks_for(docs), hash_bits(docs)
+    of_chunk = dealt(texts(docs, held_out.alias("out"), id_col=id_col, text_col=text_col), chunks, F.col("out")).groupBy("chunk")
 
     def send(docs: pa.Table) -> pa.Table:
-        own = Chunk(docs)
+        own = Chunk(docs, bits)
         chunk = docs["chunk"][0].as_py()
-        word = own.hashes != _START
-        return pa.concat_tables([sent(own.hashes[word], [own.count[word]], chunk, chunks), sent(own.pairs, [own.pair_count, own.expected(chunks)], chunk, chunks, PAIRS)])
+        return pa.concat_tables([sent(own.hashes[own.real], [own.count[own.real]], chunk, chunks), sent(own.pairs, [own.pair_count, own.expected(chunks)], chunk, chunks, PAIRS)])
 
-    asked = dealt.applyInArrow(send, SENT)
+    asked = of_chunk.applyInArrow(send, SENT)
     counts = stored(asked.groupBy("bucket").applyInArrow(lambda t: _counted(t, chunks), ANSWER), "counts")
     drop_shuffles(docs.sparkSession)
     n_train, n_words, once, twice = stats_of(counts, WORDS, 4)
     d1, d0 = discount(*stats_of(counts, PAIRS, 2)), discount(once, twice)
 
     def gather(docs: pa.Table, right: pa.Table) -> pa.Table:
-        own = Chunk(docs)
+        own = Chunk(docs, bits)
         c, t = answered(right, PAIRS, np.uint32, np.float32)
         share = (t / np.maximum(c, 1))[own.pair[own.train]]
         n = len(own.hashes)
@@ -202,16 +202,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         t = seated(np.round(up), np.full(len(up), d0 + ROOT_STRENGTH / max(n_words, 1)), d0, 5000 + bucket) * (up > 0)
         return got.answers(CONTEXTS, bucket, [customers.astype(np.uint32), tables.astype(np.float32), np.maximum(up - d0 * t, 0).astype(np.float32)], [up.sum(), t.sum()])
 
-    asked = dealt.cogroup(counts.where(f"kind = {PAIRS} and chunk >= 0").groupBy("chunk")).applyInArrow(gather, SENT)
+    asked = of_chunk.cogroup(counts.where(f"kind = {PAIRS} and chunk >= 0").groupBy("chunk")).applyInArrow(gather, SENT)
     contexts = stored(asked.groupBy("bucket").applyInArrow(seat_root, ANSWER), "contexts")
     drop_shuffles(docs.sparkSession)
     root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
 
     def score(docs: pa.Table, right: pa.Table) -> pa.Table:
-        own = Chunk(docs)
-        real = own.hashes != _START
+        own = Chunk(docs, bits)
         count = np.zeros(len(own.hashes))
-        count[real] = answered(right, WORDS, np.uint32)[0]
+        count[own.real] = answered(right, WORDS, np.uint32)[0]
         c, t = answered(right, PAIRS, np.uint32, np.float32)
         customers, tables, root = answered(right, CONTEXTS, np.uint32, np.float32, np.float32)
         uniform = 1 / (n_words + 1)
@@ -225,4 +224,4 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     answers = counts.unionByName(contexts).where("chunk >= 0").groupBy("chunk")
-    return dealt.cogroup(answers).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _ARROW.empty_table(), SCHEMA)
+    return of_chunk.cogroup(answers).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _ARROW.empty_table(), SCHEMA)
