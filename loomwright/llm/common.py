@@ -8,6 +8,8 @@ A chunk sends a hash once however often it holds it, so a hot word weighs no mor
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of input for each chunk of the blob exchange.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 19
 #: Bytes of text that are looked at together by the vectorised code.
 BLOCK_BYTES = 1 << 20
 
@@ -107,6 +109,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def _trim() -> None:
+    """Give freed memory back: an executor's Python workers share little, and wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(function):
+    """function, whose freed memory goes back to the system after each call."""
+
+    def run(*args):
+        try:
+            return function(*args)
+        finally:
+            _trim()
+
+    one = function.__code__.co_argcount == 1  # Spark counts the arguments
+    return (lambda table: run(table)) if one else (lambda left, right: run(left, right))
+
+
 # ---------------------------------------------------------------- words and their hashes
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -224,7 +246,7 @@ def cut_to(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _pack(batches):
     """Rows (chunk, doc_id, text, flag) as a compressed blob for each chunk of a batch."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, most=8 << 20)):
         order = np.argsort(batch.column("chunk").to_numpy(), kind="stable")
         batch = batch.take(pa.array(order))
         chunk = batch.column("chunk").to_numpy()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, mix, sent, stats_of, stored, texts, unpacked_docs, words
+from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, lean, mix, sent, stats_of, stored, texts, unpacked_docs, words
 
 BURN_IN, KEPT_SWEEPS = 2, 3
 LARGE = 128
@@ -180,8 +180,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         chunk = docs["chunk"][0].as_py()
         return pa.concat_tables([sent(own.hashes[own.real], [own.count[own.real]], chunk, chunks), sent(own.pairs, [own.pair_count, own.expected(chunks)], chunk, chunks, PAIRS)])
 
-    asked = of_chunk.applyInArrow(send, SENT)
-    counts = stored(asked.groupBy("bucket").applyInArrow(lambda t: _counted(t, chunks), ANSWER), "counts")
+    asked = of_chunk.applyInArrow(lean(send), SENT)
+    counts = stored(asked.groupBy("bucket").applyInArrow(lean(lambda t: _counted(t, chunks)), ANSWER), "counts")
     drop_shuffles(docs.sparkSession)
     n_train, n_words, once, twice = stats_of(counts, WORDS, 4)
     d1, d0 = discount(*stats_of(counts, PAIRS, 2)), discount(once, twice)
@@ -202,12 +202,14 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         t = seated(np.round(up), np.full(len(up), d0 + ROOT_STRENGTH / max(n_words, 1)), d0, 5000 + bucket) * (up > 0)
         return got.answers(CONTEXTS, bucket, [customers.astype(np.uint32), tables.astype(np.float32), np.maximum(up - d0 * t, 0).astype(np.float32)], [up.sum(), t.sum()])
 
-    asked = of_chunk.cogroup(counts.where(f"kind = {PAIRS} and chunk >= 0").groupBy("chunk")).applyInArrow(gather, SENT)
-    contexts = stored(asked.groupBy("bucket").applyInArrow(seat_root, ANSWER), "contexts")
+    asked = of_chunk.cogroup(counts.where(f"kind = {PAIRS} and chunk >= 0").groupBy("chunk")).applyInArrow(lean(gather), SENT)
+    contexts = stored(asked.groupBy("bucket").applyInArrow(lean(seat_root), ANSWER), "contexts")
     drop_shuffles(docs.sparkSession)
     root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
 
     def score(docs: pa.Table, right: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _ARROW.empty_table()
         own = Chunk(docs, bits)
         count = np.zeros(len(own.hashes))
         count[own.real] = answered(right, WORDS, np.uint32)[0]
@@ -224,4 +226,4 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     answers = counts.unionByName(contexts).where("chunk >= 0").groupBy("chunk")
-    return of_chunk.cogroup(answers).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _ARROW.empty_table(), SCHEMA)
+    return of_chunk.cogroup(answers).applyInArrow(lean(score), SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, mix, packed, packed_sorted, sent, stored, texts, unpacked, unpacked_docs, unpacked_sorted, words
+from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, lean, mix, packed, packed_sorted, sent, stored, texts, unpacked, unpacked_docs, unpacked_sorted, words
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -159,10 +159,10 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
         return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary())], schema=_SETS)
 
-    asked = of_chunk.cogroup(rep.groupBy("chunk")).applyInArrow(send, SENT)
-    answers = stored(asked.groupBy("bucket").applyInArrow(merge, ANSWER), "frequencies")
+    asked = of_chunk.cogroup(rep.groupBy("chunk")).applyInArrow(lean(send), SENT)
+    answers = stored(asked.groupBy("bucket").applyInArrow(lean(merge), ANSWER), "frequencies")
     right = rep.unionByName(answers, allowMissingColumns=True)
-    sets = of_chunk.cogroup(right.groupBy("chunk")).applyInArrow(sign, "doc_id long, bands array<long>, n int, set binary")
+    sets = of_chunk.cogroup(right.groupBy("chunk")).applyInArrow(lean(sign), "doc_id long, bands array<long>, n int, set binary")
     drop_shuffles(docs.sparkSession)
     return stored(sets, "sets")
 
