@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, ragged, slices
+from .common import flat, ragged, short_batches, slices
 
 HEAD, END = b"<|turn|>", b"<|end|>\n"
 #: Strings that are never left as they are inside a text: those of this template and of common other ones.
@@ -100,6 +100,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     A conversation is dealt to one task and streamed through it in sorted order: its digest or its text is one sequence,
     so that a hot conversation costs its task time but never memory. Its text comes in segments of about 4 MB.
     """
+    short_batches(turns.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

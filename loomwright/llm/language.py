@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, mix, ragged, slices
+from .common import grouped, mix, ragged, short_batches, slices
 
 #: Training texts for each language, about; a bounded sample by a hash of the id.
 TRAIN_TEXTS = 800
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, train: Column | None = None, lang_col: str = "lang", te
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every text."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices, texts
+from .common import flat, short_batches, slices, texts
 
 #: Labelled rows that are fitted to, about, and the longest text among them in bytes.
 SAMPLE, LONGEST_FIT = 1600, 12_000
@@ -184,4 +184,5 @@ def keep_good(docs: DataFrame, network: Network, threshold: float = 0.5, text_co
                 text = part.column(text_col)
                 yield part.filter(pa.array(network.scores(text.fill_null("")) >= threshold))
 
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
