@@ -47,8 +47,8 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def with_next(rows: DataFrame, prepare, value: Column, ids: str = "doc_id", ties: str = "text", out: str = "next", together: int = TOGETHER) -> DataFrame:
-    """prepare(rows), each row with `value` of the row after it in descending order of ids (then of `ties`); the last has the first's.
+def with_next(rows: DataFrame, prepare, values: list[str], ids: str = "doc_id", ties: str = "text", prefix: str = "next_", together: int = TOGETHER) -> DataFrame:
+    """prepare(rows), each row with the `values` (never null) of the row after it in descending order of ids (then of `ties`); the last has the first's.
 
     Rows are put in order within ranges of about `together` ids, so that no task orders the table. Only the first row of
     a range travels to the range before it. Ranges are put in order in the same way, by ranges of ranges; what one task
@@ -67,12 +67,14 @@ def with_next(rows: DataFrame, prepare, value: Column, ids: str = "doc_id", ties
     highest = F.lit((high - low) // wide if span["n"] else -1)
     after = first.join(tops, "__over").select("__range", F.coalesce("__after", "__below", highest).alias("__after"))
     heads = rows.join(first.select(F.col("__range").alias("__of"), "__id"), F.col(ids).eqNullSafe(F.col("__id")))
-    heads = prepare(heads).groupBy(F.col("__range").alias("__after")).agg(F.min_by(F.struct(value.alias("v")), F.col(ties)).alias("__head"))
+    heads = prepare(heads).groupBy(F.col("__range").alias("__after")).agg(F.min_by(F.struct(*values), F.col(ties)).alias("__head"))
     heads = after.join(heads, "__after").select("__range", "__head")
 
+    # dealt by range first and prepared then: what is prepared need not be shuffled, nor any text twice
     order = Window.partitionBy("__range").orderBy(F.col(ids).desc_nulls_last(), F.col(ties))
-    rows = prepare(rows).withColumn(out, F.lead(F.struct(value.alias("v"))).over(order))
-    return rows.join(heads, "__range").withColumn(out, F.coalesce(F.col(out), F.col("__head"))["v"]).drop("__range", "__head")
+    rows = prepare(rows.repartition("__range")).withColumns({f"__{v}": F.lead(v).over(order) for v in values})
+    rows = rows.join(heads, "__range").withColumns({prefix + v: F.coalesce(f"__{v}", F.col("__head")[v]) for v in values})
+    return rows.drop("__range", "__head", *[f"__{v}" for v in values])
 
 
 def edited_text(text: str, following: Column) -> Column:
@@ -89,6 +91,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
     """Every text's sketch beside those of its edited text and of the next document: doc_id, n_chars, edited_sha256, sketch, edited, next_sketch."""
-    rows = with_next(texts(docs, id_col=id_col, text_col=text_col), lambda df: sketched(df, "text", "sketch", scale), F.struct("text", "sketch"))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", edited_text("text", F.col("next.text")).alias("edited_text"), F.col("next.sketch").alias("next_sketch"))
+    rows = with_next(texts(docs, id_col=id_col, text_col=text_col), lambda df: sketched(df, "text", "sketch", scale), ["text", "sketch"])
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", edited_text("text", F.col("next_text")).alias("edited_text"), "next_sketch")
     return sketched(rows, "edited_text", "edited", scale).select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "sketch", "edited", "next_sketch")
