@@ -44,14 +44,17 @@ def discount(once: float, twice: float) -> float:
 
 
 def expected_tables(customers: np.ndarray, opening: np.ndarray, d: float) -> np.ndarray:
-    """Tables that customers of one dish open on average, by the mean's differential equation in steps of the logarithm."""
-    t, c = np.ones(len(customers)), np.ones(len(customers))
-    for _ in range(48):
-        step = (customers / c) ** (1 / 8)
-        after = np.minimum(c * step, customers)
-        t = np.minimum(t + (after - c) * opening / (opening + np.maximum(c - d * t, 1e-9)), after)
-        c = after
-    return t
+    """Tables that many customers of one dish sit at on average under the seating that the sampler draws from.
+
+    The generating function over seatings of weight opening**tables is exp(opening / d * (1 - (1 - x)**d)); at its saddle
+    point opening * x * (1 - x)**(d - 1) = customers the mean is the exponent, besides the table that there always is.
+    """
+    low, high = np.full(len(customers), -700.0), np.zeros(len(customers))  # of log(1 - x)
+    for _ in range(60):
+        mid = (low + high) / 2
+        above = np.log(opening) + np.log1p(-np.exp(np.minimum(mid, -1e-12))) + (d - 1) * mid > np.log(customers)
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.minimum(1 + opening / d * -np.expm1(d * low), customers)
 
 
 def seated(customers: np.ndarray, opening: np.ndarray, d: float, seed: int) -> np.ndarray:
@@ -172,8 +175,9 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts by the model of those that are not held out."""
-    chunks, bits = chunks_for(docs), hash_bits(docs)
-    of_chunk = dealt(texts(docs, held_out.alias("out"), id_col=id_col, text_col=text_col), chunks, F.col("out")).groupBy("chunk")
+    rows = texts(docs, held_out.alias("out"), id_col=id_col, text_col=text_col)
+    chunks, bits = chunks_for(rows), hash_bits(rows)
+    of_chunk = dealt(rows, chunks, F.col("out")).groupBy("chunk")
 
     def send(docs: pa.Table) -> pa.Table:
         own = Chunk(docs, bits)

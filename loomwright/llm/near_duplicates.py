@@ -51,7 +51,7 @@ def shingles(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     row, h = words(*flat(pc.utf8_lower(column)), _APART)
     size = np.bincount(row, minlength=len(column))
     total = h.copy()
-    for k in range(1, WIDTH):
+    for k in range(1, min(WIDTH, len(h))):
         total[: len(h) - k] = mix(total[: len(h) - k] * U64(0x9E3779B97F4A7C15) + h[k:])
     nth = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
     whole = nth + WIDTH <= size[row]
