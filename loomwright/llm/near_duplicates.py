@@ -8,9 +8,13 @@
    which is most of a corpus, ends here. This loses nothing.
 4. BANDS x ROWS consistent weighted samples of each text left; a pair at 0.8 meets in no band with probability 0.0006.
 5. Within a band's bucket each text is compared with the bucket's least id only, by exact weighted Jaccard similarity;
-   links make components. Where a bucket still holds several components, further rounds compare one text of each with
-   one of another, both picked anew by a hash in each round. So a hot bucket gives as many pairs as it has rows, never
-   all pairs, and no bucket is gathered in one task.
+   links make components. Where a bucket still holds several components, a further round compares one text of each with
+   one of another. So a hot bucket gives as many pairs as it has rows, never all pairs, and no bucket is gathered in
+   one task.
+6. The texts of buckets that hold several components even then are joined exactly: two texts at the threshold share a
+   shingle of their prefixes (their rarest shingles, up to where the others weigh less than the threshold's share), so
+   texts of different components that share one are compared, unless the weights from that shingle on rule them out.
+   No link between two texts of a bucket is lost, and texts of one component are not compared again.
 
 Nulls are empty texts. Texts without a word only match equal texts. Rows with equal ids and different texts take the
 class of the least. An empty table gives an empty result.
@@ -28,9 +32,10 @@ from .common import ANSWER, SENT, U64, Received, answered, chunk_of, chunks_for,
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
-ROUNDS = 3
+ROUNDS = 2
 _APART = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
-_SETS = pa.schema([("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("set", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("set", pa.binary()), ("total", pa.float64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.float64()))])
+_SETS_DDL = "doc_id long, bands array<long>, n int, set binary, total double, prefix array<long>, rest array<double>"
 
 
 def _gamma_table(n: int) -> np.ndarray:
@@ -110,6 +115,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low))
 
 
+def prefixes(hashes: np.ndarray, weights: np.ndarray, df: np.ndarray, starts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: its weight; and, for every shingle of its prefix that other texts have, set, hash and the weight from it on.
+
+    Shingles go by document frequency and hash, the same order for all sets. Those left out weigh less than the
+    threshold's share of the set, so that two sets at the threshold have a prefix shingle in common.
+    """
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
+    order = np.lexsort((hashes, df, of))
+    w = weights[order].astype(np.float64)
+    total = np.add.reduceat(w, starts)
+    before = np.cumsum(w) - w
+    rest = total[of] - (before - before[starts][of])
+    at = np.flatnonzero((rest >= threshold * total[of] * (1 - 1e-6)) & (df[order] > 1))
+    return total, of[at], hashes[order][at], rest[at]
+
+
 def _own(docs: pa.Table, right: pa.Table) -> pa.Table:
     """The chunk's documents that stand for their text, by id."""
     keep = pc.unique(right.filter(pc.is_valid(right["rep"]))["rep"])
@@ -124,7 +145,7 @@ def _chunk(docs: pa.Table, right: pa.Table) -> int:
 
 
 def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float) -> DataFrame:
-    """doc_id, bands, n, set: of the texts that may have a near-duplicate, their band keys and weighted shingles."""
+    """doc_id, bands, n, set: of the texts that may have a near-duplicate, their band keys, weighted shingles and prefix."""
     chunks, bits = chunks_for(docs), hash_bits(docs)
     of_chunk = dealt(docs, chunks).groupBy("chunk")
     rep = reps.select(chunk_of(chunks), F.col("doc_id").alias("rep"))
@@ -148,7 +169,7 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
         all_, common = np.bincount(row, w, own.num_rows), np.bincount(row, w * (df > 1), own.num_rows)
         may = (common >= threshold * all_ - 1e-9) & (all_ > 0)
         keep = may[row]
-        row, h, w = row[keep], h[keep], w[keep].astype(np.float32)
+        row, h, w, df = row[keep], h[keep], w[keep].astype(np.float32), df[keep]
         starts = np.flatnonzero(np.diff(row, prepend=-1))
         if not len(starts):
             return _SETS.empty_table()
@@ -157,12 +178,15 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
         sets = [packed_sorted(h[a:b]) + packed(w[a:b]) for a, b in zip(starts, ends, strict=True)]
         ids = own["doc_id"].combine_chunks().take(pa.array(row[starts]))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-        return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary())], schema=_SETS)
+        total, of, prefix, rest = prefixes(h, w, df, starts, threshold)
+        edges = pa.array(np.searchsorted(of, np.arange(len(starts) + 1)), pa.int32())
+        prefix, rest = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (prefix.view(np.int64), rest))
+        return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary()), pa.array(total), prefix, rest], schema=_SETS)
 
     asked = of_chunk.cogroup(rep.groupBy("chunk")).applyInArrow(lean(send), SENT)
     answers = stored(asked.groupBy("bucket").applyInArrow(lean(merge), ANSWER), "frequencies")
     right = rep.unionByName(answers, allowMissingColumns=True)
-    sets = of_chunk.cogroup(right.groupBy("chunk")).applyInArrow(lean(sign), "doc_id long, bands array<long>, n int, set binary")
+    sets = of_chunk.cogroup(right.groupBy("chunk")).applyInArrow(lean(sign), _SETS_DDL)
     drop_shuffles(docs.sparkSession)
     return stored(sets, "sets")
 
@@ -201,6 +225,23 @@ def components(links: DataFrame) -> DataFrame:
         last = now
 
 
+def across_components(placed: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts of different components that may reach the threshold, from buckets (key, doc_id) that hold several."""
+    whole = placed.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    several = whole.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = stored(whole.join(several, "key").select("doc_id", "root").distinct(), "unresolved")
+    at = sets.join(left, "doc_id").select("doc_id", "root", "total", F.explode(F.arrays_zip("prefix", "rest")).alias("p"))
+    at = stored(at.select("doc_id", "root", "total", F.col("p.prefix").alias("h"), F.col("p.rest").alias("rest")), "prefixes")
+    # a shingle's largest component need not be compared with itself: the others' texts are compared with all
+    sizes = at.groupBy("h", "root").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("h", "top")
+    at = stored(at.join(top, "h"), "prefixes")
+    x, y = at.where("root <> top").alias("x"), at.alias("y")
+    least = (F.col("x.total") + F.col("y.total")) * (threshold / (1 + threshold) * (1 - 1e-6))
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.rest", "y.rest") >= least))
+    return both.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), text_id (the least id of an equal text) of every row with an id."""
     rows = texts(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
@@ -232,5 +273,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
+    more = stored(verified(stored(across_components(placed, roots, sets, threshold), "pairs"), sets, threshold), "links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
     out = members.join(roots.withColumnRenamed("doc_id", "text_id"), "text_id", "left")
     return out.select("doc_id", F.coalesce("root", "text_id").alias("class_id"), "text_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from loomwright.llm import bpe, chat, decontaminate, fingerprints, language, language_model, near_duplicates, quality, secrets, token_counts  # noqa: E402
-from loomwright.llm.common import held_out  # noqa: E402
+from loomwright.llm.common import held_out, unpacked, unpacked_sorted  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, n_tokens string, score string, sketch string"
 WORDS = [a + b + c for a in ("th", "er", "on", "st", "re") for b in ("a", "e", "ou", "i") for c in ("nd", "r", "sh", "")]
@@ -129,6 +129,25 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates.near_duplicate_classes(empty).count() == 0
 
 
+def test_no_link_of_a_bucket_is_lost(spark):
+    rng, texts = random.Random(7), []
+    for family in range(3):
+        line = prose(5000 + family, 120).split()
+        for k in range(25):  # a chain: each text is near some of its neighbours only
+            line[rng.randrange(120)] = f"w{family}x{k}"
+            texts.append(" ".join(line))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_duplicates.text_sets(table, table.select("doc_id"), len(texts), 0.8)
+    read = {r.doc_id: (unpacked_sorted(r.set, r.n), unpacked(r.set, np.float32, r.n, 8 * r.n)) for r in sets.collect()}
+    want = {(a, b) for a in read for b in read if a > b and near_duplicates.similarity(read[a], read[b]) >= 0.8}
+    bucket = sets.select("doc_id", F.lit(1).alias("key"))
+    nothing = spark.createDataFrame([], "doc_id long, root long")
+    pairs = near_duplicates.across_components(bucket, nothing, sets, 0.8)
+    assert {(r.a, r.b) for r in near_duplicates.verified(pairs, sets, 0.8).collect()} == want and 30 < len(want) < len(read) ** 2 / 4
+    classes = spark.createDataFrame([(i, i // 25) for i in read], "doc_id long, root long")
+    assert all(r.a // 25 != r.b // 25 for r in near_duplicates.across_components(bucket, classes, sets, 0.8).collect())
+
+
 def test_consistent_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
