@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
+from ..operators import folds as fold_rows
 from ..operators import joins, missing, partitions
 from ..operators.position import POS, with_position
 from ..sources import readers
@@ -22,6 +23,7 @@ class Dataset:
     df: DataFrame
     roles: dict[str, list[str]]
     audits: list[joins.Audit] = field(default_factory=list)
+    folds: DataFrame | None = None
 
     def block(self, partition: str, role: str) -> DataFrame:
         return self.df.where(F.col(partitions.PARTITION) == partition).select(*[f"`{c}`" for c in self.roles[role]])
@@ -87,6 +89,24 @@ def _missing(df: DataFrame, roles: dict[str, list[str]], key: list[str], p: Para
     return df, roles
 
 
+def _folds(df: DataFrame, own: dict, base: str) -> DataFrame:
+    """fold, side, pos, train_pos of the folds that a specification declares: inline, by column or in a file."""
+    if bad := df.where((F.col(partitions.PARTITION) != "train") & F.col(f"`{own['column']}`").isNotNull()).limit(1).count() if own.get("column") else 0:
+        raise SpecError(f"{bad} row outside train has a fold in {own['column']}")
+    if own.get("inline"):
+        rows = fold_rows.listed(df.sparkSession, own["inline"])
+    elif own.get("column"):
+        train = df.where(F.col(partitions.PARTITION) == "train")
+        if not train.where(F.col(f"`{own['column']}`").isNotNull()).limit(1).count():
+            raise SpecError(f"no training row has a fold in {own['column']}")
+        rows = partitions.folds_by_column(train, own["column"], POS).withColumnRenamed(POS, "pos")
+    elif own.get("file"):
+        rows = fold_rows.read_folds(df.sparkSession, readers.resolve(own["file"], base)[0], own.get("format", "auto"))
+    else:
+        raise SpecError("folds name neither inline lists nor a column nor a file")
+    return fold_rows.translated(df, rows)
+
+
 def assemble(spark: SparkSession, spec: DatasetSpec | dict, base: str = ".", frames: dict[str, DataFrame] | None = None) -> Dataset:
     """The primary source is the first with features that is no lookup; all others join it in the order of their declaration."""
     spec = parse(spec) if isinstance(spec, dict) else spec
@@ -137,10 +157,12 @@ def assemble(spark: SparkSession, spec: DatasetSpec | dict, base: str = ".", fra
     for flag in flags:
         df = df.where(~F.coalesce(flag, F.lit(True))).drop(flag)
     p = spec.partitions
+    if spec.folds and POS not in df.columns:
+        df = with_position(df, *df.columns)
     if p and p.by == "column":
         df = partitions.by_column(df, p.column, p.lists, p.unknown)
     elif p and p.by == "index":
         df = partitions.by_index(df if POS in df.columns else with_position(df, *df.columns), POS, p.lists)
     elif partitions.PARTITION not in df.columns:
         df = df.withColumn(partitions.PARTITION, F.lit("train"))
-    return Dataset(df, roles, audits)
+    return Dataset(df, roles, audits, _folds(df, spec.folds, base) if spec.folds else None)

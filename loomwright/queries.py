@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import numeric, text
 from .operators import aggregate as agg
-from .operators import categorical, joins, missing, partitions, statistics
+from .operators import categorical, folds, joins, missing, partitions, statistics
 from .operators.position import POS, with_position
 from .spec import selectors
 
@@ -344,6 +344,32 @@ def fold_positions(spark, sf):
     return partitions.fold_positions(o, POS).select("o_orderkey", "train_pos")
 
 
+@query("""
+WITH n AS (SELECT fold, n_nationkey, CASE WHEN n_nationkey % 3 = fold THEN 'val' ELSE 'train' END AS side FROM nation, range(3) f(fold) WHERE n_nationkey < 18)
+SELECT CAST(fold AS INTEGER) AS fold, side, n_nationkey FROM n
+""")
+def folds_inline(spark, sf):
+    n = partitions.by_index(with_position(table(spark, sf, "nation"), "n_nationkey"), POS, {"train": list(range(18)), "test": list(range(18, 25))})
+    listed = folds.listed(spark, [{"train": [i for i in range(18) if i % 3 != k], "val": list(range(k, 18, 3))} for k in range(3)])
+    return folds.provenance(n, folds.translated(n, listed), "n_nationkey")
+
+
+@query("SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN o_orderkey % 4 = fold THEN 'val' ELSE 'train' END AS side, o_orderkey AS pos FROM orders, range(4) f(fold)")
+def folds_of_assignments(spark, sf):
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("fold"), F.col("o_orderkey").alias("sample_id"))
+    return folds.from_assignments(rows)
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS pos, o_orderkey % 2 = 0 AS a, o_orderkey % 3 = 0 AS b FROM orders)
+SELECT CAST(0 AS INTEGER) AS fold, CASE WHEN a THEN 'train' ELSE 'val' END AS side, pos FROM l WHERE a OR b
+UNION ALL SELECT CAST(1 AS INTEGER), CASE WHEN b THEN 'train' ELSE 'val' END, pos FROM l WHERE a OR b
+""")
+def folds_complement(spark, sf):
+    key = F.col("o_orderkey")
+    return folds.from_columns(table(spark, sf, "orders").select(F.when(key % 2 == 0, key).alias("fold_0"), F.when(key % 3 == 0, key).alias("fold_1")))
+
+
 @query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_partitions FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def leakage_groups(spark, sf):
     return partitions.leaking_groups(partitions.by_column(table(spark, sf, "orders"), "o_orderstatus", _LISTS, "drop"), "o_custkey")

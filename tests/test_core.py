@@ -2,7 +2,7 @@ import pytest
 
 from loomwright.errors import AssemblyError, DataError, JoinError, SpecError
 from loomwright.infer import detectors
-from loomwright.operators import joins, missing, partitions
+from loomwright.operators import folds, joins, missing, partitions
 from loomwright.plans.planner import assemble
 from loomwright.sources import readers
 from loomwright.spec import enums, model, selectors
@@ -83,6 +83,42 @@ def test_assemble(spark):
     assert {(r.partition, r.role, r.n_rows) for r in d.manifest().collect()} >= {("train", "features", 3), ("test", "targets", 1)}
 
 
+def fold_set(df):
+    return {(r.fold, r.side, r.pos) for r in df.collect()}
+
+
+def test_fold_files(spark, tmp_path):
+    def at(name, text):
+        (tmp_path / name).write_text(text)
+        return folds.read_folds(spark, str(tmp_path / name))
+
+    two = {(0, "train", 0), (0, "train", 1), (0, "val", 2), (1, "train", 2), (1, "val", 0), (1, "val", 1)}
+    assert fold_set(at("a.csv", "fold_0,fold_1\n0,2\n1,\n")) == two
+    assert fold_set(at("b.csv", "id,Fold\n2,5\n0,9\n1,9\n")) == two
+    assert fold_set(at("c.csv", "x,fold\nu,9\nv,9\nw,5\n")) == two
+    assert fold_set(at("d.json", '[{"train": [0, 1], "val": [2]}, {"train": [2], "test": [0, 1]}]')) == two
+    assert fold_set(at("e.txt", "0,1\n2\n\n2\n0,1\n")) == two
+    for name, text in (("f.json", '[{"train": [1.5]}]'), ("g.json", "{"), ("h.txt", "0\n"), ("i.txt", "a\n1\n"), ("j.csv", "fold_0,fold_1\na,1\n"), ("k.xml", "")):
+        with pytest.raises(SpecError):
+            at(name, text)
+    assert folds.listed(spark, []).count() == 0
+
+
+def test_folds_of_a_specification(spark, tmp_path):
+    rows = [(i, float(i), "cal" if i % 2 else "val", None if i % 2 == 0 else "ab"[i % 4 // 2]) for i in range(8)]
+    x = spark.createDataFrame(rows, "id long, n1 double, set string, cv string")
+    spec = {"partitions": {"by": "column", "column": "set", "lists": {"train": ["cal"], "test": ["val"]}}, "sources": [{"id": "x", "input": x, "key": "id", "columns": {"features": ["n1"], "metadata": "rest"}}]}
+    got = assemble(spark, spec | {"folds": {"column": "cv"}}).folds
+    assert {(r.fold, r.side, r.pos, r.train_pos) for r in got.collect()} >= {(0, "val", 1, 0), (0, "train", 3, 1), (1, "val", 7, 3), (1, "train", 5, 2)}
+    (tmp_path / "cv.txt").write_text("1,3\n5,7\n")
+    d = assemble(spark, spec | {"folds": {"file": "cv.txt"}}, str(tmp_path))
+    assert {(r.side, r.train_pos) for r in d.folds.collect()} == {("train", 0), ("train", 1), ("val", 2), ("val", 3)}
+    assert {(r.side, r.id) for r in folds.provenance(d.df, d.folds, "id").collect()} == {("train", 1), ("train", 3), ("val", 5), ("val", 7)}
+    for bad in ([{"train": [0], "val": [1]}], [{"train": [1], "val": [1]}], [{"train": [1, 1], "val": [3]}], [{"train": [9], "val": [1]}]):
+        with pytest.raises(SpecError):
+            assemble(spark, spec | {"folds": {"inline": bad}})
+
+
 def test_spec_reports_all_problems():
     with pytest.raises(SpecError, match="no input.*unknown key|unknown key.*no input"):
         model.parse({"sources": [{"id": "a", "role": "features", "odd": 1}]})
