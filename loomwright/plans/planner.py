@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..operators import folds as fold_rows
-from ..operators import joins, missing, partitions
+from ..operators import joins, missing, partitions, variations
 from ..operators.position import POS, with_position
 from ..sources import readers
 from ..spec import selectors
@@ -51,7 +51,7 @@ def _load(spark: SparkSession, source: Source, params: Params, base: str, frames
             loaded[item] = frames[item]
         else:
             for path in readers.resolve(item, base):
-                text = readers.extension(path) in (".csv", ".csv.gz", ".tsv", ".txt")
+                text = readers.extension(path) in (".csv", ".csv.gz", ".csv.zip", ".tsv", ".txt")
                 loaded[path] = readers.read(spark, path, **({"delimiter": params.delimiter, "decimal": params.decimal, "header": params.header} if text else {}))
     parts = list(loaded.values())
     if len(parts) == 1:
@@ -124,6 +124,13 @@ def assemble(spark: SparkSession, spec: DatasetSpec | dict, base: str = ".", fra
         if p.na_policy == "remove_sample":
             flags.append(f"__gone_{s.id}")
         df = df.drop(*roles["ignore"])
+        if s.variations:
+            df = df if POS in df.columns else with_position(df, *(s.key or df.columns))
+        for name, ref in s.variations.items():
+            other = _load(spark, replace(s, input=ref, merge="none"), p, base, frames or {})
+            other = other if POS in other.columns else with_position(other, *(s.key or other.columns))
+            df = variations.with_variation(df, other.drop(*s.key), name, roles["features"])
+            roles = roles | {f"features:{name}": [f"{name}__{f}" for f in roles["features"]]}
         if s.partition:
             df = df.withColumn(partitions.PARTITION, F.lit(s.partition))
         tables[s.id] = (s, df, roles)
@@ -153,7 +160,7 @@ def assemble(spark: SparkSession, spec: DatasetSpec | dict, base: str = ".", fra
             named = {c: c if c not in df.columns else f"{s.id}__{c}" for c in right.columns}
             df = joins.row_order_join(df, right, s.id)
         for role, names in own.items():
-            roles[role] += [named[c] for c in names if c in named and role != "ignore"]
+            roles.setdefault(role, []).extend([named[c] for c in names if c in named and role != "ignore"])
     for flag in flags:
         df = df.where(~F.coalesce(flag, F.lit(True))).drop(flag)
     p = spec.partitions
@@ -161,8 +168,9 @@ def assemble(spark: SparkSession, spec: DatasetSpec | dict, base: str = ".", fra
         df = with_position(df, *df.columns)
     if p and p.by == "column":
         df = partitions.by_column(df, p.column, p.lists, p.unknown)
-    elif p and p.by == "index":
-        df = partitions.by_index(df if POS in df.columns else with_position(df, *df.columns), POS, p.lists)
+    elif p and p.by in ("index", "index_file"):
+        lists = p.lists if p.by == "index" else {part: readers.read_positions(spark, readers.resolve(own, base)[0]) for part, own in p.lists.items()}
+        df = partitions.by_index(df if POS in df.columns else with_position(df, *df.columns), POS, lists)
     elif partitions.PARTITION not in df.columns:
         df = df.withColumn(partitions.PARTITION, F.lit("train"))
     return Dataset(df, roles, audits, _folds(df, spec.folds, base) if spec.folds else None)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import numeric, text
 from .operators import aggregate as agg
-from .operators import categorical, folds, joins, missing, partitions, statistics
+from .operators import categorical, folds, joins, missing, partitions, statistics, variations
 from .operators.position import POS, with_position
 from .spec import selectors
 
@@ -370,6 +370,13 @@ def folds_complement(spark, sf):
     return folds.from_columns(table(spark, sf, "orders").select(F.when(key % 2 == 0, key).alias("fold_0"), F.when(key % 3 == 0, key).alias("fold_1")))
 
 
+@query("SELECT c_custkey, c_acctbal, c_acctbal * 2 AS snv__c_acctbal FROM customer")
+def variation_columns(spark, sf):
+    c = with_position(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    other = c.select(POS, (F.col("c_acctbal") * 2).alias("value"))
+    return variations.with_variation(c, other, "snv", ["c_acctbal"]).select("c_custkey", "c_acctbal", "snv__c_acctbal")
+
+
 @query("SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_partitions FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def leakage_groups(spark, sf):
     return partitions.leaking_groups(partitions.by_column(table(spark, sf, "orders"), "o_orderstatus", _LISTS, "drop"), "o_custkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import io
+import json
 import os
 from collections.abc import Callable
 
@@ -107,6 +108,45 @@ def cast_text(df: DataFrame, decimal: str = ".") -> DataFrame:
     return df.select(*out)
 
 
+@reader(".csv.zip")
+def read_zipped_text(spark: SparkSession, path: str, delimiter: str = ";", decimal: str = ".", header: bool = True, typed: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file that is the one member of an archive of up to 2 GB; it is unpacked as a stream, on an executor."""
+    import zipfile
+
+    import pyarrow as pa
+
+    def decode(batches):
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    members = [m for m in z.infolist() if not m.is_dir()]
+                    if len(members) != 1:
+                        raise DataError(f"an archive must have one member; this one has {len(members)}")
+                    with z.open(members[0]) as f:
+                        nth, records = 0, []
+                        for record in csv.reader(io.TextIOWrapper(f, encoding, newline=""), delimiter=delimiter):
+                            if record:
+                                records.append(record)
+                            if len(records) == 5000:
+                                yield batch(nth, records)
+                                nth, records = nth + len(records), []
+                        yield batch(nth, records)
+
+    def batch(nth: int, records: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(nth, nth + len(records)), pa.int64()), pa.array(records, pa.list_(pa.string()))], names=["nth", "cells"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "nth long, cells array<string>")
+    lines = [r[0] for r in rows.where(F.col("nth") < SAMPLE_RECORDS).orderBy("nth").select("cells").collect()]
+    if not lines:
+        return spark.createDataFrame([], "value string")
+    guard_delimiter([delimiter.join(x) for x in lines], delimiter)
+    names = mangled(lines[0]) if header else [str(i) for i in range(len(lines[0]))]
+    wide = F.when(F.size("cells") > len(names), F.raise_error(F.lit(f"a record has more than {len(names)} cells"))).otherwise(F.col("cells"))
+    body = (rows.where("nth > 0") if header else rows).select(wide.alias("cells"))
+    df = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return cast_text(df, decimal) if typed else df
+
+
 @reader(".parquet")
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -149,6 +189,18 @@ def from_arrays(spark: SparkSession, x, y=None, split: list[str] | None = None)
     return spark.createDataFrame(rows, schema)
 
 
+def read_positions(spark: SparkSession, path: str) -> list[int]:
+    """Positions from a file: a JSON array, or numbers between commas or line ends."""
+    text = ((spark.read.text(path, wholetext=True).first() or [""])[0] or "").strip()
+    try:
+        found = json.loads(text) if text.startswith("[") else [int(x) for x in text.replace(",", "\n").split("\n") if x.strip()]
+    except ValueError as e:
+        raise SpecError(f"{path}: {e}") from None
+    if not all(type(i) is int for i in found):
+        raise SpecError(f"{path} holds other things than integers")
+    return found
+
+
 def resolve(ref: str, base: str = ".") -> list[str]:
     """Paths that a reference stands for, sorted: an existing name before a pattern, the base folder first."""
     for root in (base, ""):

@@ -41,6 +41,7 @@ class Source:
     strict_columns: bool = True
     join: Join | None = None
     params: Params | None = None
+    variations: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass

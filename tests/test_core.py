@@ -119,6 +119,40 @@ def test_folds_of_a_specification(spark, tmp_path):
             assemble(spark, spec | {"folds": {"inline": bad}})
 
 
+def test_variations_and_index_files(spark, tmp_path):
+    x = spark.createDataFrame([(i, float(i), i + 0.5) for i in range(4)], "id long, n1 double, n2 double")
+    snv = spark.createDataFrame([(i, -float(i), 0.0) for i in range(4)], "id long, n1 double, n2 double")
+    (tmp_path / "a.txt").write_text("0,1\n\n3")
+    (tmp_path / "b.json").write_text("[2]")
+    source = {"id": "x", "input": x, "key": "id", "columns": {"features": ["n1", "n2"], "metadata": "rest"}, "variations": {"snv": snv}}
+    d = assemble(spark, {"sources": [source], "partitions": {"by": "index_file", "lists": {"train": "a.txt", "test": "b.json"}}}, str(tmp_path))
+    assert sorted(tuple(r) for r in d.block("train", "features:snv").collect()) == [(-3.0, 0.0), (-1.0, 0.0), (0.0, 0.0)] and d.block("test", "features:snv").first()[0] == -2.0
+    for other in (snv.limit(3), snv.drop("n2"), snv.withColumnRenamed("n2", "n3"), snv.toDF("id", "a", "b").drop("b")):
+        with pytest.raises(SpecError):
+            assemble(spark, {"sources": [source | {"variations": {"snv": other}}]})
+    (tmp_path / "bad.txt").write_text("1,x")
+    with pytest.raises(SpecError):
+        readers.read_positions(spark, str(tmp_path / "bad.txt"))
+
+
+def test_zipped_text(spark, tmp_path):
+    import zipfile
+
+    def packed(name, **members):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, text in members.items():
+                z.writestr(n, text)
+        return str(tmp_path / name)
+
+    df = readers.read(spark, packed("d.csv.zip", d="1000;a;a\n1;2,5;x\n;3;NA\n7\n"), decimal=",")
+    assert df.columns == ["1000", "a", "a.1"] and sorted(map(str, (tuple(r) for r in df.collect()))) == ["(1, 2.5, 'x')", "(7, None, None)", "(None, 3.0, None)"]
+    for bad in (packed("two.csv.zip", a="a;b\n", b="a;b\n"), packed("wide.csv.zip", a="a;b\n1;2;3\n")):
+        with pytest.raises(Exception, match="one member|more than"):
+            readers.read(spark, bad).collect()
+    with pytest.raises(DataError):
+        readers.read(spark, packed("comma.csv.zip", a="a,b\n1,2\n"))
+
+
 def test_spec_reports_all_problems():
     with pytest.raises(SpecError, match="no input.*unknown key|unknown key.*no input"):
         model.parse({"sources": [{"id": "a", "role": "features", "odd": 1}]})
