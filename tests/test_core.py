@@ -102,6 +102,13 @@ def test_fold_files(spark, tmp_path):
         with pytest.raises(SpecError):
             at(name, text)
     assert folds.listed(spark, []).count() == 0
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        with pytest.raises(SpecError, match="yaml package"):
+            at("l.yaml", "- {train: [0, 1], val: [2]}\n")
+    else:
+        assert fold_set(at("l.yaml", "- {train: [0, 1], val: [2]}\n- {train: [2], val: [0, 1]}\n")) == two
 
 
 def test_folds_of_a_specification(spark, tmp_path):
