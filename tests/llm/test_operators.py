@@ -245,6 +245,20 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty, model).count() == 0 and secrets.find_secrets(docs, model).count() == 0
 
 
+def test_long_secrets_are_found_whole(spark):
+    model, rng = secrets.fit(secrets.labelled_findings(spark, 1500)), random.Random(11)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    run = lambda n, of=b64: "".join(rng.choice(of) for _ in range(n))
+    values = [run(n, of) for n in (199, 201, 300, 320, 2000, 20000) for of in (b64, "0123456789abcdef")]
+    values += ["eyJ" + ".".join(run(k) for k in n) for n in ((30, 200, 43), (60, 300, 86), (30, 2000, 342))]
+    texts = [f'{name}{v}{end} and more' for v in values for name, end in (('token = "', '"'), ("token: ", ""), ("set api_key='", "'"))]
+    table = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.candidate) for r in secrets.candidates(table).collect()} == {(i, values[i // 3]) for i in range(len(texts))}
+    found = secrets.find_secrets(table, model)
+    assert {(r.doc_id, r.candidate) for r in found.collect()} == {(i, values[i // 3]) for i in range(len(texts))}
+    assert {r.doc_id: r.text for r in secrets.redact(table, found).collect()} == {i: t.replace(values[i // 3], "[SECRET]") for i, t in enumerate(texts)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
