@@ -259,6 +259,12 @@ def test_long_secrets_are_found_whole(spark):
     assert {r.doc_id: r.text for r in secrets.redact(table, found).collect()} == {i: t.replace(values[i // 3], "[SECRET]") for i, t in enumerate(texts)}
 
 
+def test_keys_without_a_digit_are_searched(spark):
+    keys = [head + "QZBKLMNOPTUVWXYC" for head in ("AKIA", "ASIA")]
+    table = spark.createDataFrame([(i, f"the {k} and more", "src") for i, k in enumerate(keys)], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.candidate) for r in secrets.candidates(table).collect()} == set(enumerate(keys))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
