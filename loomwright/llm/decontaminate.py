@@ -4,8 +4,12 @@ Documents are partitioned by size: class c holds those of up to 2**c distinct sh
 cut into 2**(c+1) bins and a document's signature is its least shingle hash in each bin (one-permutation MinHash), so
 that a bin holds half a shingle on average and a long document keeps as large a share of its shingles as a short one.
 An item has one signature for each class. A shared bin minimum makes a candidate: an item of q shingles of which a
-share s is in the document goes unseen with a probability of about 0.21**(q*s). Candidates are verified exactly: the
-share of the item's distinct shingles that the document holds must reach the threshold.
+share s is in the document goes unseen with a probability of up to about 0.21**(q*s).
+
+That is too much for items of few shingles, so items of which a document may hold fewer than SURE shingles are joined
+exactly beside it: a document that lacks at most k of an item's shingles holds one of any k + 1 of them, so the k + 1
+least are looked up among all shingles of all documents. Candidates are verified exactly: the share of the item's
+distinct shingles that the document holds must reach the threshold.
 
 Nulls, empty texts and texts without a word match nothing. An item of one to four words has one shingle of all its
 words and matches documents of just these words. Rows with equal ids are one document (or item) with all their shingles.
@@ -20,6 +24,8 @@ from .common import stored, texts
 from .native import BITS, WIDTH, exploded, shingled
 
 THRESHOLD = 0.8
+#: With so many shingles in common a signature misses with a probability below 0.21**24 = 6e-17.
+SURE = 24
 #: Bytes of a small side (items, candidates) up to which it is sent to all executors.
 BROADCAST_BYTES = 48 << 20
 
@@ -54,12 +60,18 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
 
     found = sets(shingled(texts(docs, id_col=id_col, text_col=text_col), "text", "shingles", width))
     found = found.withColumn("class", size_class(F.size("hashes")))
-    signed = exploded(found, minima("hashes", "class"), "doc_id")
+    # an item's shingles that a document must hold, and as many of them as cannot all be missing
+    needed = F.ceil(F.lit(threshold) * F.size("hashes") - 1e-9)
+    short = F.slice("hashes", F.lit(1), (F.size("hashes") - F.greatest(needed, F.lit(1)) + 1).cast("int"))
     classes = F.sequence(F.lit(0), F.lit(BITS - 2))
     per_item = wanted.groupBy("item_id").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    least = stored(exploded(per_item.where(needed < SURE), short, "item_id"), "short-items")
+    # without short items no document's shingles are sent along
+    looked_up = F.concat(minima("hashes", "class"), "hashes") if least.limit(1).count() else minima("hashes", "class")
+    signed = exploded(found, looked_up, "doc_id")
     per_item = per_item.select("item_id", "hashes", F.explode(classes).alias("class"))
-    per_item = exploded(per_item, minima("hashes", "class"), "item_id")
-    hits = signed.join(_small(per_item, item_rows * (BITS - 1), 24), "hash").select("doc_id", "item_id").distinct()
+    per_item = exploded(per_item, minima("hashes", "class"), "item_id").unionByName(least)
+    hits = signed.join(_small(per_item, item_rows * BITS, 24), "hash").select("doc_id", "item_id").distinct()
     hits = stored(hits, "candidates")
 
     n = hits.count()

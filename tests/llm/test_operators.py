@@ -61,6 +61,21 @@ def test_containment(spark, docs, empty):
     assert decontaminate.find_contained(empty, items).count() == 0 and decontaminate.without_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_short_items_inside_long_documents(spark):
+    base = [prose(6000 + i, 40 + 60 * i) for i in range(12)]
+    parts = [" ".join(f"u{k}x{j}" for j in range(n)) for k, n in enumerate([5, 5, 5, 6, 6, 6, 7, 7, 8, 9, 10, 12] * 4)]
+    parts += [" ".join(b.split()[9 : 9 + n]) for b in base for n in (5, 6)]
+    items = list(enumerate([*parts, "one", "two words", "!"]))
+    texts = [" ".join([b[: len(b) // 2], *(p for k, p in enumerate(parts[:48]) if (i * k + k // 5) % 4 < 2), b[len(b) // 2 :]]) for i, b in enumerate(base)]
+    # near items: one word of the end changed, so that 4 of 5 shingles and more are there
+    texts += [f"{prose(7000 + k, 300)} {p.rsplit(' ', 1)[0]} {prose(7100 + k, 200)}" for k, p in enumerate(parts[:48])] + ["Two, words", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.shared for r in decontaminate.find_contained(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, k): len(s & own) for k, t in items if (own := shingle_set(t)) for i, s in enumerate(sets) if len(s & own) / len(own) >= 0.8}
+    assert got == want and len(want) > 200 and any(k < 48 and v < len(shingle_set(items[k][1])) for (_, k), v in want.items())
+
+
 def test_fingerprints(docs, empty):
     got = {r.doc_id: r for r in fingerprints.compare_with_edited(docs).withColumns({"near": fingerprints.likeness("sketch", "edited"), "nxt": fingerprints.likeness("sketch", "next_sketch")}).collect()}
     own = {r[0]: r[1] or "" for r in rows()}
