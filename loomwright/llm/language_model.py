@@ -6,12 +6,15 @@ customer to the parent. Seating is sampled by Gibbs: customers leave their table
 for k - d, a new one for (theta + d * tables) times the parent's probability of the dish. After burn-in the numbers of
 tables are averaged over the kept sweeps, and with them the predictive probabilities.
 
-All counts come from all training texts by the blob exchange: words and pairs go to hash buckets, are seated there and
-the answers return to the chunks of documents that hold them. Nothing that grows with the corpus passes the driver.
+All counts come from all training texts by the blob exchange: words and pairs go to hash buckets and the answers return
+to the chunks of documents that hold them. Then each chunk, by the distinct words and pairs that it kept, sends every
+context's tables and every word's tables in all contexts to the words' buckets, where the parent is seated; the answers
+give the chunk each pair's weight for a new table, (theta + d * tables of the context) times the parent's probability, both
+of all training texts, with which pairs are seated in their buckets. This is done ROUNDS times, from one table for each
+pair. Nothing that grows with the corpus passes the driver.
 Departures from a single sampler, for the sake of scale: dishes are reseated in parallel, one customer of each at a
-time; a pair's weight for a new table is (d + theta / customers) times its expected count, taken from its chunks' own
-frequencies; a dish with over LARGE customers takes the expected number of tables, whose relative spread is below a few
-per cent there. Children are seated before the parent (one upward pass).
+time, by the state of the other restaurants at the end of the round before; a dish with over LARGE customers takes the
+expected number of tables, whose relative spread is below a few per cent there.
 
 Texts: A-Z lower-cased, words are runs of bytes other than 0x20 and 0x09-0x0D, then one end. Null and empty texts are an
 end alone. With no training text every word is unknown: base and model are uniform over one word.
@@ -24,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, lean, mix, sent, stats_of, stored, texts, unpacked_docs, words
+from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, lean, mix, packed, packed_sorted, sent, stats_of, stored, texts, unpacked, unpacked_docs, unpacked_sorted, words
 
 BURN_IN, KEPT_SWEEPS = 2, 3
+#: Times that pairs and then their parent are seated.
+ROUNDS = 2
 LARGE = 128
 STRENGTH, ROOT_STRENGTH = 0.5, 1.0
 _END, _START = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
@@ -35,7 +40,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-WORDS, PAIRS, CONTEXTS = 0, 1, 2
+WORDS, PAIRS, CONTEXTS, KEPT, SEATS = 0, 1, 2, 3, 4
 
 
 def discount(once: float, twice: float) -> float:
@@ -144,18 +149,44 @@ class Chunk:
         self.pair_count = np.bincount(self.pair[train], minlength=len(self.pairs)).astype(np.uint32)
         self.train = train
 
-    def expected(self, chunks: int) -> np.ndarray:
-        """For each pair, 8 times the binary logarithm of its expected count were words independent, plus 128, in a byte; 0 below 2**-6."""
-        as_context = np.bincount(self.context[self.train], minlength=len(self.hashes))
-        of = np.zeros(len(self.pairs))
-        total = max(1, int(self.train.sum()))
-        of[self.pair] = np.maximum(as_context[self.context], 0.5) * chunks * np.maximum(self.count[self.word], 0.5) / total
-        code = np.clip(np.round(8 * np.log2(np.maximum(of, 1e-9)) + 128), 0, 255)
-        return np.where(code < 80, 0, code).astype(np.uint8)
+    def kept(self, bucket: int, chunk: int) -> pa.Table:
+        """What seating needs of the chunk, to be handed back by a bucket of its own: the words' hashes, and each pair's words and count."""
+        context, word = np.empty((2, len(self.pairs)), np.int32)
+        context[self.pair], word[self.pair] = self.context, self.word
+        raw = len(self.hashes).to_bytes(8, "little") + packed_sorted(self.hashes) + packed(context) + packed(word) + packed(self.pair_count)
+        body = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "n": pa.array([len(self.pairs)], pa.int32()), "blob": pa.array([body], pa.binary())})
 
 
-def _id(docs: pa.Table, right: pa.Table) -> int:
-    return (docs if docs.num_rows else right)["chunk"][0].as_py()
+class Kept:
+    """A chunk's distinct words and pairs without its tokens, from what Chunk.kept sent, and the pairs' counts and tables."""
+
+    def __init__(self, table: pa.Table, bits: int):
+        [(n, blob)] = [(n, blob) for kind, n, blob in zip(table["kind"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist(), strict=True) if kind == KEPT]
+        raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+        size = int.from_bytes(raw[:8], "little")
+        self.hashes, at = unpacked_sorted(raw, size, 8), 8 + 8 * size
+        self.context, self.word, self.own_count = (unpacked(raw, t, n, at + 4 * n * k) for k, t in enumerate((np.int32, np.int32, np.uint32)))
+        self.pairs = cut_to(mix(self.hashes[self.context] * U64(0x9E3779B97F4A7C15) + self.hashes[self.word]), bits)
+        self.count, self.tables = pair_tables(table)
+
+
+def pair_tables(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and tables of a chunk's pairs: one table for those not seated (yet)."""
+    (c,), (seats,) = answered(answers, PAIRS, np.uint32), answered(answers, SEATS, np.float32)
+    tables = np.minimum(c, 1).astype(np.float64)
+    if len(seats):
+        tables[c > 1] = seats
+    return c, tables
+
+
+def _coded(opening: np.ndarray) -> np.ndarray:
+    """Weights from 2**-40 to 2**24 in two bytes, to 0.04 per cent."""
+    return np.clip(np.round(1024 * (np.log2(opening) + 40)), 0, 65535).astype(np.uint16)
+
+
+def _decoded(code: np.ndarray) -> np.ndarray:
+    return 2.0 ** (code.astype(np.float64) / 1024 - 40)
 
 
 def _counted(table: pa.Table, buckets: int) -> pa.Table:
@@ -164,13 +195,20 @@ def _counted(table: pa.Table, buckets: int) -> pa.Table:
         got = Received(table, np.uint32)
         c = got.sums(0)
         return got.answers(WORDS, bucket, [c.astype(np.uint32)], [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()])
-    got = Received(table, np.uint32, np.uint8)
+    if bucket >= 2 * buckets:
+        return table.select(["chunk"]).append_column("kind", pa.array([KEPT], pa.int32())).append_column("bucket", table["bucket"]).append_column("n", table["n"]).append_column("blob", table["blob"]).append_column("stats", pa.nulls(1, pa.list_(pa.float64())))
+    got = Received(table, np.uint32)
     c = got.sums(0)
-    once, twice = float((c == 1).sum()), float((c == 2).sum())
-    d = discount(once, twice)
-    e = np.bincount(got.where, 2.0 ** ((got.values[1].astype(np.float64) - 128) / 8), len(c)) / np.bincount(got.where, minlength=len(c))
-    t = seated(c, (d + STRENGTH / np.maximum(c, 1)) * e, d, 1000 + bucket)
-    return got.answers(PAIRS, bucket, [c.astype(np.uint32), t.astype(np.float32)], [once, twice])
+    return got.answers(PAIRS, bucket, [c.astype(np.uint32)], [float((c == 1).sum()), float((c == 2).sum())])
+
+
+def _seats(table: pa.Table, d: float, seed: int) -> pa.Table:
+    """Pairs of a bucket, seated; every chunk that holds a pair sends the same count and weight."""
+    bucket = table["bucket"][0].as_py()
+    got = Received(table, np.uint32, np.uint16)
+    c, code = np.zeros((2, len(got.hashes)), np.int64)
+    c[got.where], code[got.where] = got.values
+    return got.answers(SEATS, bucket, [seated(c, _decoded(code), d, seed + bucket).astype(np.float32)])
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +220,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def send(docs: pa.Table) -> pa.Table:
         own = Chunk(docs, bits)
         chunk = docs["chunk"][0].as_py()
-        return pa.concat_tables([sent(own.hashes[own.real], [own.count[own.real]], chunk, chunks), sent(own.pairs, [own.pair_count, own.expected(chunks)], chunk, chunks, PAIRS)])
+        return pa.concat_tables([sent(own.hashes[own.real], [own.count[own.real]], chunk, chunks), sent(own.pairs, [own.pair_count], chunk, chunks, PAIRS), own.kept(2 * chunks + chunk, chunk)])
 
     asked = of_chunk.applyInArrow(lean(send), SENT)
     counts = stored(asked.groupBy("bucket").applyInArrow(lean(lambda t: _counted(t, chunks)), ANSWER), "counts")
@@ -190,24 +228,44 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     n_train, n_words, once, twice = stats_of(counts, WORDS, 4)
     d1, d0 = discount(*stats_of(counts, PAIRS, 2)), discount(once, twice)
 
-    def gather(docs: pa.Table, right: pa.Table) -> pa.Table:
-        own = Chunk(docs, bits)
-        c, t = answered(right, PAIRS, np.uint32, np.float32)
-        share = (t / np.maximum(c, 1))[own.pair[own.train]]
-        n = len(own.hashes)
-        context, word = own.context[own.train], own.word[own.train]
-        customers, tables, up = np.bincount(context, minlength=n), np.bincount(context, share, n), np.bincount(word, share, n)
-        return sent(own.hashes, [customers.astype(np.uint32), tables.astype(np.float32), up.astype(np.float32)], _id(docs, right), chunks)
-
-    def seat_root(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        got = Received(table, np.uint32, np.float32, np.float32)
-        customers, tables, up = got.sums(0), got.sums(1), got.sums(2)
-        t = seated(np.round(up), np.full(len(up), d0 + ROOT_STRENGTH / max(n_words, 1)), d0, 5000 + bucket) * (up > 0)
-        return got.answers(CONTEXTS, bucket, [customers.astype(np.uint32), tables.astype(np.float32), np.maximum(up - d0 * t, 0).astype(np.float32)], [up.sum(), t.sum()])
-
-    asked = of_chunk.cogroup(counts.where(f"kind = {PAIRS} and chunk >= 0").groupBy("chunk")).applyInArrow(lean(gather), SENT)
-    contexts = stored(asked.groupBy("bucket").applyInArrow(lean(seat_root), ANSWER), "contexts")
+    def parent(root: np.ndarray, customers: float, tables: float) -> np.ndarray:
+        return (root + (ROOT_STRENGTH + d0 * tables) / (n_words + 1)) / (ROOT_STRENGTH + customers)
+
+    def gather(table: pa.Table) -> pa.Table:
+        own = Kept(table, bits)
+        n, share = len(own.hashes), own.own_count * own.tables / np.maximum(own.count, 1)
+        customers, tables, up = np.bincount(own.context, own.own_count, n), np.bincount(own.context, share, n), np.bincount(own.word, share, n)
+        return sent(own.hashes, [customers.astype(np.uint32), tables.astype(np.float32), up.astype(np.float32)], table["chunk"][0].as_py(), chunks)
+
+    def rooted(answers: DataFrame, root_tables: float, seed: int) -> DataFrame:
+        def seat_root(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            got = Received(table, np.uint32, np.float32, np.float32)
+            customers, tables, up = got.sums(0), got.sums(1), got.sums(2)
+            t = seated(np.round(up), np.full(len(up), (ROOT_STRENGTH + d0 * root_tables) / (n_words + 1)), d0, seed + bucket) * (up > 0)
+            return got.answers(CONTEXTS, bucket, [customers.astype(np.uint32), tables.astype(np.float32), np.maximum(up - d0 * t, 0).astype(np.float32)], [up.sum(), t.sum()])
+
+        asked = answers.where("chunk >= 0").groupBy("chunk").applyInArrow(lean(gather), SENT)
+        return stored(asked.groupBy("bucket").applyInArrow(lean(seat_root), ANSWER), "contexts")
+
+    def reseated(answers: DataFrame, root_customers: float, root_tables: float, seed: int) -> DataFrame:
+        def weigh(table: pa.Table) -> pa.Table:
+            own = Kept(table, bits)
+            _, tables, root = answered(table, CONTEXTS, np.uint32, np.float32, np.float32)
+            more = own.count > 1  # one customer has one table
+            opening = (STRENGTH + d1 * tables[own.context[more]]) * parent(root, root_customers, root_tables)[own.word[more]]
+            return sent(own.pairs[more], [own.count[more], _coded(opening)], table["chunk"][0].as_py(), chunks)
+
+        asked = answers.where("chunk >= 0").groupBy("chunk").applyInArrow(lean(weigh), SENT)
+        return stored(asked.groupBy("bucket").applyInArrow(lean(lambda t: _seats(t, d1, seed)), ANSWER), "seats")
+
+    seats, contexts = None, rooted(counts.where(f"kind <> {WORDS}"), n_words, 5000)
+    for k in range(ROUNDS):
+        drop_shuffles(docs.sparkSession)
+        root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
+        seats = reseated(counts.where(f"kind <> {WORDS}").unionByName(contexts), root_customers, root_tables, 1000 + 1000003 * k)
+        drop_shuffles(docs.sparkSession)
+        contexts = rooted(counts.where(f"kind <> {WORDS}").unionByName(seats), root_tables, 5000 + 1000003 * (k + 1))
     drop_shuffles(docs.sparkSession)
     root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
 
@@ -217,17 +275,15 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         own = Chunk(docs, bits)
         count = np.zeros(len(own.hashes))
         count[own.real] = answered(right, WORDS, np.uint32)[0]
-        c, t = answered(right, PAIRS, np.uint32, np.float32)
+        c, t = pair_tables(right)
         customers, tables, root = answered(right, CONTEXTS, np.uint32, np.float32, np.float32)
-        uniform = 1 / (n_words + 1)
-        parent = (root + (ROOT_STRENGTH + d0 * root_tables) * uniform) / (ROOT_STRENGTH + root_customers)
         below = STRENGTH + customers
         back = np.where(customers > 0, (STRENGTH + d1 * tables) / below, 1.0)
-        p = np.maximum(c - d1 * t, 0)[own.pair] / below[own.context] + back[own.context] * parent[own.word]
+        p = np.maximum(c - d1 * t, 0)[own.pair] / below[own.context] + back[own.context] * parent(root, root_customers, root_tables)[own.word]
         n = len(own.sizes)
         base = np.log10((count + 1) / (n_train + n_words + 1))
         columns = [own.ids, pa.array(own.out), own.sizes, np.bincount(own.doc, count[own.word] > 0, n).astype(np.int64), np.full(n, int(n_train)), np.bincount(own.doc, base[own.word], n), np.bincount(own.doc, np.log10(p), n)]
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
-    answers = counts.unionByName(contexts).where("chunk >= 0").groupBy("chunk")
+    answers = counts.where(f"kind <> {KEPT}").unionByName(contexts).unionByName(seats).where("chunk >= 0").groupBy("chunk")
     return of_chunk.cogroup(answers).applyInArrow(lean(score), SCHEMA)

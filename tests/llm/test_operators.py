@@ -205,6 +205,16 @@ def test_language_model(docs, empty):
     assert language_model.score_texts(empty, held_out("doc_id", 7, 2)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_chunks(spark, monkeypatch):
+    texts = [" ".join(f"a{i} b{i} {w}" if k % 2 else f"a{i} b{i}" for k, w in enumerate(prose(i, 40).split())) for i in range(60)]  # a pair of its own in each
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    score = {}
+    for chunks in (1, 24):
+        monkeypatch.setattr(language_model, "chunks_for", lambda _, n=chunks: n)
+        score[chunks] = {r.doc_id: r.score for r in language_model.score_texts(table, held_out("doc_id", 7, 2)).collect()}
+    assert score[1] == pytest.approx(score[24], rel=0.02)
+
+
 def stirling_mean(c, a, d):
     """Mean number of tables of c customers under weights a**t times the generalised Stirling number, by its recurrence."""
     w = np.array([0.0, 1.0])
