@@ -44,11 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors. by: a column whose values get folders of their own, so that a filter on it reads only theirs."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def text_bytes(rows: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def parts_for(size: int, each: int, least: int = 24, pivot: int = 256) -> int:
+    """Parts to cut `size` bytes into: of about `each` bytes up to `pivot` parts, and beyond that as many more as they grow larger.
+
+    Every part of one side sends a blob to every part of the other, so that blobs grow in proportion to the input.
+    """
+    n = max(1, -(-size // each))
+    return max(least, n if n <= pivot else int(np.ceil((n * pivot) ** 0.5)))
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -104,6 +118,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
         at, done = to, int(ends[to - 1])
 
 
+def gathered(batches, most: int, column: str = "text") -> Iterator[pa.Table]:
+    """The rows of all batches as tables with about so many bytes of text each."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, most):
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + own > most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, all in one array, and the offsets of its rows (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -138,7 +167,7 @@ def lean(function):
         finally:
             _trim()
 
-    one = function.__code__.co_argcount == 1  # Spark counts the arguments
+    one = function.__code__.co_argcount - len(function.__defaults__ or ()) == 1  # Spark counts the arguments
     return (lambda table: run(table)) if one else (lambda left, right: run(left, right))
 
 
@@ -219,6 +248,30 @@ def unpacked_sorted(blob: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.cumsum(unpacked(blob, U64, n, at), dtype=U64)
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Integer or float arrays as one compressed blob."""
+    raw = np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(packed(np.ascontiguousarray(a)) for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unbundle(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)).tolist(), 8 * len(kinds), []
+    for n, kind in zip(sizes, kinds, strict=True):
+        out.append(unpacked(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of ascending values, the first from 0; climbed() takes them back."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def climbed(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=differences.dtype)
+
+
 def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted hashes; buckets are equal ranges of the hash."""
     limits = np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], dtype=U64)

@@ -1,46 +1,66 @@
 """Language-model scores by a hierarchical Pitman-Yor model of words after words.
 
 Each word is a restaurant for the words that follow it; all have the restaurant without a context as their parent, whose
-base is uniform over the known words and one unknown. A customer of a dish that opens a table in a child sends one
-customer to the parent. Seating is sampled by Gibbs: customers leave their table and choose again, a table with k others
-for k - d, a new one for (theta + d * tables) times the parent's probability of the dish. After burn-in the numbers of
-tables are averaged over the kept sweeps, and with them the predictive probabilities.
-
-All counts come from all training texts by the blob exchange: words and pairs go to hash buckets and the answers return
-to the chunks of documents that hold them. Then each chunk, by the distinct words and pairs that it kept, sends every
-context's tables and every word's tables in all contexts to the words' buckets, where the parent is seated; the answers
-give the chunk each pair's weight for a new table, (theta + d * tables of the context) times the parent's probability, both
-of all training texts, with which pairs are seated in their buckets. This is done ROUNDS times, from one table for each
-pair. Nothing that grows with the corpus passes the driver.
-Departures from a single sampler, for the sake of scale: dishes are reseated in parallel, one customer of each at a
-time, by the state of the other restaurants at the end of the round before; a dish with over LARGE customers takes the
-expected number of tables, whose relative spread is below a few per cent there.
+base is uniform over the known words and one unknown. A dish's customers are its occurrences in training texts; each of
+its tables sends one customer to the parent.
+
+Texts are read once. A chunk (texts that a task reads one after the other) sends its distinct pairs, with their training
+counts, to buckets by the hash of the *context*, so that a whole restaurant lies in one bucket, and its distinct words to
+buckets by the hash of the word; it keeps, packed, which pair each token is. Then SWEEPS times: the parent's buckets
+reseat, given the tables of all contexts, and send back each word's weight; the contexts' buckets reseat, given the
+parent, and send up their words' tables. Of the sweeps after BURN_IN the predictive probabilities are averaged, and go
+back to the chunks as one number for each pair. Nothing that grows with the corpus passes the driver.
+
+Seating is sampled by Gibbs in blocks: a block is the seating of one dish, drawn whole from its conditional given the
+parent and the restaurant's other tables, (theta' | d)_t P**t S_d(c, t), where S_d are generalised Stirling numbers and
+theta' is theta + d * the other tables. Up to EXACT customers the draw is from that distribution itself; a dish with
+more takes a normal draw with its mean and spread by a saddle point, which are within a few thousandths there. Random
+numbers are hashes of the pair and the sweep: scores do not depend on how the table is cut. Departures from a sequential
+sampler: the dishes of a sweep are drawn side by side, each given the others as the sweep before left them.
 
 Texts: A-Z lower-cased, words are runs of bytes other than 0x20 and 0x09-0x0D, then one end. Null and empty texts are an
-end alone. With no training text every word is unknown: base and model are uniform over one word.
+end alone; rows with equal ids are scored each, and equal texts have equal scores; ids may be null; further columns are
+not read. With no training text every word is unknown: base and model are uniform over one word. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ANSWER, SENT, U64, Received, answered, chunks_for, cut_to, dealt, drop_shuffles, flat, grouped, hash_bits, lean, mix, packed, packed_sorted, sent, stats_of, stored, texts, unpacked, unpacked_docs, unpacked_sorted, words
+from .common import U64, bucket_edges, bundle, climbed, flat, gathered, grouped, lean, mix, parts_for, steps, stored, text_bytes, texts, unbundle, words
 
-BURN_IN, KEPT_SWEEPS = 2, 3
-#: Times that pairs and then their parent are seated.
-ROUNDS = 2
-LARGE = 128
+BURN_IN, KEPT_SWEEPS = 2, 2
+SWEEPS = BURN_IN + KEPT_SWEEPS
+#: Customers up to which a dish's tables are drawn from their exact distribution.
+EXACT = 1024
 STRENGTH, ROOT_STRENGTH = 0.5, 1.0
+#: Bytes of text of a chunk.
+CHUNK_BYTES = 8 << 20
 _END, _START = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 _APART = np.isin(np.arange(256), [32, *range(9, 14)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-WORDS, PAIRS, CONTEXTS, KEPT, SEATS = 0, 1, 2, 3, 4
+_P = U64(0x9E3779B97F4A7C15)
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
+#: Kinds of the rows that go between chunks, buckets of contexts and buckets of words.
+WORDS, PAIRS, KEPT, COUNTS, STATE, WHERE, SEATS, UP, ROOT, ANSWER = range(10)
+ROW = "kind int, bucket long, chunk long, blob binary, stats array<double>"
+_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.float64()))])
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+
+
+# ---------------------------------------------------------------- seating
 
 
 def discount(once: float, twice: float) -> float:
@@ -48,242 +68,295 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / max(once + 2 * twice, 1), 0.05, 0.95))
 
 
-def expected_tables(customers: np.ndarray, opening: np.ndarray, d: float) -> np.ndarray:
-    """Tables that many customers of one dish sit at on average under the seating that the sampler draws from.
+@lru_cache(maxsize=2)
+def stirling_logs(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S_d(c, t), by their recurrence."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, most):
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - d * np.arange(1, c + 1))
+        out[c + 1, 2 : c + 2] = np.logaddexp(out[c + 1, 2 : c + 2], out[c, 1 : c + 1])
+    return out
+
+
+def spread_of_tables(customers: np.ndarray, opening: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the tables of many customers of one dish under weights opening**t S_d(c, t).
 
-    The generating function over seatings of weight opening**tables is exp(opening / d * (1 - (1 - x)**d)); at its saddle
-    point opening * x * (1 - x)**(d - 1) = customers the mean is the exponent, besides the table that there always is.
+    The tables are a Poisson number of groups with the total conditioned to be c: the generating function is
+    exp(opening / d * (1 - (1 - x)**d)); at its saddle point opening * x * (1 - x)**(d - 1) = c the mean is the exponent,
+    besides the table that there always is, and the variance is the exponent less what the condition takes.
     """
     low, high = np.full(len(customers), -700.0), np.zeros(len(customers))  # of log(1 - x)
     for _ in range(60):
         mid = (low + high) / 2
         above = np.log(opening) + np.log1p(-np.exp(np.minimum(mid, -1e-12))) + (d - 1) * mid > np.log(customers)
         low, high = np.where(above, mid, low), np.where(above, high, mid)
-    return np.minimum(1 + opening / d * -np.expm1(d * low), customers)
-
-
-def seated(customers: np.ndarray, opening: np.ndarray, d: float, seed: int) -> np.ndarray:
-    """Average number of tables for each dish. opening: its weight for a new table (strength times the parent's probability)."""
-    customers = customers.astype(np.int64)
-    tables = np.minimum(customers, 1).astype(np.float64)
-    large = customers > LARGE
-    tables[large] = expected_tables(customers[large].astype(np.float64), opening[large], d)
-    pick = np.flatnonzero((customers > 1) & ~large)
-    if not len(pick):
-        return tables
-    pick = pick[np.argsort(-customers[pick], kind="stable")]  # so that those with a customer left are a head
-    c, a = customers[pick], opening[pick]
-    rng = np.random.default_rng(seed)
-    at = np.cumsum(c) - c
-    seat = np.zeros(int(c.sum()), np.int32)  # each customer's table, numbered within the dish
-    size = np.zeros(len(seat), np.int32)
-    size[at] = c
-    count, kept = np.ones(len(c), np.int64), np.zeros(len(c))
-    live = [int(np.searchsorted(-c, -k, side="right")) for k in range(1, int(c[0]) + 1)]
-    for sweep in range(BURN_IN + KEPT_SWEEPS):
-        for k, n in enumerate(live):
-            who, own, first = at[:n] + k, c[:n], at[:n]
-            old = first + seat[who]
-            size[old] -= 1
-            count[:n] -= size[old] == 0
-            opens = rng.random(n) * (a[:n] + own - 1 - d * count[:n]) < a[:n]
-            new = seat[who].copy()
-            # an old table: that of another customer, kept with probability (size - d) / size
-            left = np.flatnonzero(~opens)
-            for _ in range(64):
-                if not len(left):
-                    break
-                other = first[left] + (k + 1 + (rng.random(len(left)) * (own[left] - 1)).astype(np.int64)) % own[left]
-                there = size[first[left] + seat[other]]
-                good = rng.random(len(left)) * there < there - d
-                new[left[good]] = seat[other[good]]
-                left = left[~good]
-            left = np.flatnonzero(opens & (size[old] > 0))  # a free number; the old one if it is free
-            for _ in range(64):
-                if not len(left):
-                    break
-                try_ = (rng.random(len(left)) * own[left]).astype(np.int32)
-                good = size[first[left] + try_] == 0
-                new[left[good]] = try_[good]
-                left = left[~good]
-            seat[who] = new
-            to = first + new
-            count[:n] += size[to] == 0
-            size[to] += 1
-        if sweep >= BURN_IN:
-            kept += count
-    tables[pick] = kept / KEPT_SWEEPS
-    return tables
-
-
-class Chunk:
-    """The tokens of a chunk's documents, its distinct words and pairs, and its training counts of both."""
-
-    def __init__(self, packed: pa.Table, bits: int):
-        docs = unpacked_docs(packed)
-        self.ids, self.out = docs["doc_id"], docs["flag"].to_numpy()
-        body, offsets = flat(docs["text"])
-        row, h = words(_LOWER[body], offsets, _APART)
-        n = docs.num_rows
-        self.sizes = np.bincount(row, minlength=n) + 1
-        ends = np.cumsum(self.sizes)
-        token = np.empty(int(ends[-1]) if n else 0, U64)
-        inside = np.ones(len(token), bool)
-        inside[ends - 1] = False
-        token[inside], token[ends - 1] = h, _END
-        self.doc = np.repeat(np.arange(n), self.sizes)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[ends - self.sizes] = _START
-        train = ~self.out[self.doc] if n else np.zeros(0, bool)
-        self.hashes, where, _ = grouped(np.concatenate([token, np.array([_START])]))
-        self.real = self.hashes != _START
-        self.start = where[-1]
-        self.word = where[:-1].astype(np.int32)
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[ends - self.sizes] = self.start
-        self.count = np.bincount(self.word[train], minlength=len(self.hashes)).astype(np.uint32)
-        self.pairs, pair, _ = grouped(cut_to(mix(before * U64(0x9E3779B97F4A7C15) + token), bits))
-        self.pair = pair.astype(np.int32)
-        self.pair_count = np.bincount(self.pair[train], minlength=len(self.pairs)).astype(np.uint32)
-        self.train = train
-
-    def kept(self, bucket: int, chunk: int) -> pa.Table:
-        """What seating needs of the chunk, to be handed back by a bucket of its own: the words' hashes, and each pair's words and count."""
-        context, word = np.empty((2, len(self.pairs)), np.int32)
-        context[self.pair], word[self.pair] = self.context, self.word
-        raw = len(self.hashes).to_bytes(8, "little") + packed_sorted(self.hashes) + packed(context) + packed(word) + packed(self.pair_count)
-        body = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "n": pa.array([len(self.pairs)], pa.int32()), "blob": pa.array([body], pa.binary())})
-
-
-class Kept:
-    """A chunk's distinct words and pairs without its tokens, from what Chunk.kept sent, and the pairs' counts and tables."""
-
-    def __init__(self, table: pa.Table, bits: int):
-        [(n, blob)] = [(n, blob) for kind, n, blob in zip(table["kind"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist(), strict=True) if kind == KEPT]
-        raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-        size = int.from_bytes(raw[:8], "little")
-        self.hashes, at = unpacked_sorted(raw, size, 8), 8 + 8 * size
-        self.context, self.word, self.own_count = (unpacked(raw, t, n, at + 4 * n * k) for k, t in enumerate((np.int32, np.int32, np.uint32)))
-        self.pairs = cut_to(mix(self.hashes[self.context] * U64(0x9E3779B97F4A7C15) + self.hashes[self.word]), bits)
-        self.count, self.tables = pair_tables(table)
-
-
-def pair_tables(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Training count and tables of a chunk's pairs: one table for those not seated (yet)."""
-    (c,), (seats,) = answered(answers, PAIRS, np.uint32), answered(answers, SEATS, np.float32)
-    tables = np.minimum(c, 1).astype(np.float64)
-    if len(seats):
-        tables[c > 1] = seats
-    return c, tables
-
-
-def _coded(opening: np.ndarray) -> np.ndarray:
-    """Weights from 2**-40 to 2**24 in two bytes, to 0.04 per cent."""
-    return np.clip(np.round(1024 * (np.log2(opening) + 40)), 0, 65535).astype(np.uint16)
-
-
-def _decoded(code: np.ndarray) -> np.ndarray:
-    return 2.0 ** (code.astype(np.float64) / 1024 - 40)
-
-
-def _counted(table: pa.Table, buckets: int) -> pa.Table:
-    bucket = table["bucket"][0].as_py()
-    if bucket < buckets:
-        got = Received(table, np.uint32)
-        c = got.sums(0)
-        return got.answers(WORDS, bucket, [c.astype(np.uint32)], [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()])
-    if bucket >= 2 * buckets:
-        return table.select(["chunk"]).append_column("kind", pa.array([KEPT], pa.int32())).append_column("bucket", table["bucket"]).append_column("n", table["n"]).append_column("blob", table["blob"]).append_column("stats", pa.nulls(1, pa.list_(pa.float64())))
-    got = Received(table, np.uint32)
-    c = got.sums(0)
-    return got.answers(PAIRS, bucket, [c.astype(np.uint32)], [float((c == 1).sum()), float((c == 2).sum())])
-
-
-def _seats(table: pa.Table, d: float, seed: int) -> pa.Table:
-    """Pairs of a bucket, seated; every chunk that holds a pair sends the same count and weight."""
-    bucket = table["bucket"][0].as_py()
-    got = Received(table, np.uint32, np.uint16)
-    c, code = np.zeros((2, len(got.hashes)), np.int64)
-    c[got.where], code[got.where] = got.values
-    return got.answers(SEATS, bucket, [seated(c, _decoded(code), d, seed + bucket).astype(np.float32)])
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all texts by the model of those that are not held out."""
-    rows = texts(docs, held_out.alias("out"), id_col=id_col, text_col=text_col)
-    chunks, bits = chunks_for(rows), hash_bits(rows)
-    of_chunk = dealt(rows, chunks, F.col("out")).groupBy("chunk")
-
-    def send(docs: pa.Table) -> pa.Table:
-        own = Chunk(docs, bits)
-        chunk = docs["chunk"][0].as_py()
-        return pa.concat_tables([sent(own.hashes[own.real], [own.count[own.real]], chunk, chunks), sent(own.pairs, [own.pair_count], chunk, chunks, PAIRS), own.kept(2 * chunks + chunk, chunk)])
-
-    asked = of_chunk.applyInArrow(lean(send), SENT)
-    counts = stored(asked.groupBy("bucket").applyInArrow(lean(lambda t: _counted(t, chunks)), ANSWER), "counts")
-    drop_shuffles(docs.sparkSession)
-    n_train, n_words, once, twice = stats_of(counts, WORDS, 4)
-    d1, d0 = discount(*stats_of(counts, PAIRS, 2)), discount(once, twice)
-
-    def parent(root: np.ndarray, customers: float, tables: float) -> np.ndarray:
-        return (root + (ROOT_STRENGTH + d0 * tables) / (n_words + 1)) / (ROOT_STRENGTH + customers)
-
-    def gather(table: pa.Table) -> pa.Table:
-        own = Kept(table, bits)
-        n, share = len(own.hashes), own.own_count * own.tables / np.maximum(own.count, 1)
-        customers, tables, up = np.bincount(own.context, own.own_count, n), np.bincount(own.context, share, n), np.bincount(own.word, share, n)
-        return sent(own.hashes, [customers.astype(np.uint32), tables.astype(np.float32), up.astype(np.float32)], table["chunk"][0].as_py(), chunks)
-
-    def rooted(answers: DataFrame, root_tables: float, seed: int) -> DataFrame:
-        def seat_root(table: pa.Table) -> pa.Table:
-            bucket = table["bucket"][0].as_py()
-            got = Received(table, np.uint32, np.float32, np.float32)
-            customers, tables, up = got.sums(0), got.sums(1), got.sums(2)
-            t = seated(np.round(up), np.full(len(up), (ROOT_STRENGTH + d0 * root_tables) / (n_words + 1)), d0, seed + bucket) * (up > 0)
-            return got.answers(CONTEXTS, bucket, [customers.astype(np.uint32), tables.astype(np.float32), np.maximum(up - d0 * t, 0).astype(np.float32)], [up.sum(), t.sum()])
-
-        asked = answers.where("chunk >= 0").groupBy("chunk").applyInArrow(lean(gather), SENT)
-        return stored(asked.groupBy("bucket").applyInArrow(lean(seat_root), ANSWER), "contexts")
-
-    def reseated(answers: DataFrame, root_customers: float, root_tables: float, seed: int) -> DataFrame:
-        def weigh(table: pa.Table) -> pa.Table:
-            own = Kept(table, bits)
-            _, tables, root = answered(table, CONTEXTS, np.uint32, np.float32, np.float32)
-            more = own.count > 1  # one customer has one table
-            opening = (STRENGTH + d1 * tables[own.context[more]]) * parent(root, root_customers, root_tables)[own.word[more]]
-            return sent(own.pairs[more], [own.count[more], _coded(opening)], table["chunk"][0].as_py(), chunks)
-
-        asked = answers.where("chunk >= 0").groupBy("chunk").applyInArrow(lean(weigh), SENT)
-        return stored(asked.groupBy("bucket").applyInArrow(lean(lambda t: _seats(t, d1, seed)), ANSWER), "seats")
-
-    seats, contexts = None, rooted(counts.where(f"kind <> {WORDS}"), n_words, 5000)
-    for k in range(ROUNDS):
-        drop_shuffles(docs.sparkSession)
-        root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
-        seats = reseated(counts.where(f"kind <> {WORDS}").unionByName(contexts), root_customers, root_tables, 1000 + 1000003 * k)
-        drop_shuffles(docs.sparkSession)
-        contexts = rooted(counts.where(f"kind <> {WORDS}").unionByName(seats), root_tables, 5000 + 1000003 * (k + 1))
-    drop_shuffles(docs.sparkSession)
-    root_customers, root_tables = stats_of(contexts, CONTEXTS, 2)
-
-    def score(docs: pa.Table, right: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return _ARROW.empty_table()
-        own = Chunk(docs, bits)
-        count = np.zeros(len(own.hashes))
-        count[own.real] = answered(right, WORDS, np.uint32)[0]
-        c, t = pair_tables(right)
-        customers, tables, root = answered(right, CONTEXTS, np.uint32, np.float32, np.float32)
-        below = STRENGTH + customers
-        back = np.where(customers > 0, (STRENGTH + d1 * tables) / below, 1.0)
-        p = np.maximum(c - d1 * t, 0)[own.pair] / below[own.context] + back[own.context] * parent(root, root_customers, root_tables)[own.word]
-        n = len(own.sizes)
-        base = np.log10((count + 1) / (n_train + n_words + 1))
-        columns = [own.ids, pa.array(own.out), own.sizes, np.bincount(own.doc, count[own.word] > 0, n).astype(np.int64), np.full(n, int(n_train)), np.bincount(own.doc, base[own.word], n), np.bincount(own.doc, np.log10(p), n)]
-        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
-
-    answers = counts.where(f"kind <> {KEPT}").unionByName(contexts).unionByName(seats).where("chunk >= 0").groupBy("chunk")
-    return of_chunk.cogroup(answers).applyInArrow(lean(score), SCHEMA)
+    groups = opening / d * -np.expm1(d * low)
+    odds = np.expm1(np.minimum(-low, 600))  # x / (1 - x)
+    return np.minimum(1 + groups, customers), np.sqrt(np.maximum(groups - customers / (1 + (1 - d) * odds), 0))
+
+
+def uniforms(h: np.ndarray, nth: int) -> np.ndarray:
+    """A number in (0, 1) for each hash, another one for each nth."""
+    return ((mix(h + U64((nth + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def drawn_tables(customers: np.ndarray, strength: np.ndarray, p: np.ndarray, d: float, now: np.ndarray, h: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish, drawn given the parent's probability p of it and the strength theta' that the restaurant's other tables leave."""
+    c, u = customers.astype(np.int64), uniforms(h, 2 * sweep)
+    out = np.minimum(c, 1)
+    logs = stirling_logs(d)
+    order = np.flatnonzero((c > 1) & (c <= EXACT))
+    order = order[np.argsort(c[order], kind="stable")]
+    sizes, at = c[order], 0
+    while at < len(order):
+        to = int(np.searchsorted(sizes, sizes[at] + sizes[at] // 4, side="right"))
+        to = min(to, at + max(1, (1 << 20) // int(sizes[at])))
+        pick, width = order[at:to], int(sizes[to - 1])
+        w = strength[pick, None] + d * np.arange(width)
+        w *= p[pick, None]
+        np.cumsum(np.log(w, out=w), axis=1, out=w)
+        w += logs[c[pick], 1 : width + 1]
+        w -= w.max(axis=1, keepdims=True)
+        np.cumsum(np.exp(w, out=w), axis=1, out=w)
+        out[pick] = 1 + (w < (u[pick] * w[:, -1])[:, None]).sum(axis=1)
+        at = to
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        mean, spread = spread_of_tables(c[many].astype(np.float64), (strength[many] + d * now[many]) * p[many], d)
+        normal = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniforms(h[many], 2 * sweep + 1))
+        out[many] = np.clip(np.rint(mean + spread * normal), 1, c[many]).astype(np.int64)
+    return out
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token of all texts, ends included, and the number of each text's tokens."""
+    body, offsets = flat(column)
+    row, h = words(_LOWER[body], offsets, _APART)
+    sizes = np.bincount(row, minlength=len(column)) + 1
+    token = np.full(int(sizes.sum()), _END, U64)
+    inside = np.ones(len(token), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    token[inside] = h
+    return token, sizes
+
+
+def chunk_rows(docs: pa.Table, chunk: int, buckets: int) -> pa.Table:
+    """What a chunk sends: its distinct words and pairs with their training counts, by bucket, and what it keeps."""
+    token, sizes = tokens_of(docs["text"])
+    first = np.cumsum(sizes) - sizes
+    train = np.repeat(~docs["out"].to_numpy(), sizes)
+    distinct, place, _ = grouped(np.append(token, _START))
+    word = place[:-1]
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[first] = place[-1]
+    codes, pair = np.unique(context * len(distinct) + word, return_inverse=True)
+    left, right = codes // len(distinct), codes % len(distinct)
+    count = np.bincount(pair[train], minlength=len(codes))
+    rows, real = [], distinct != _START
+    known = np.bincount(word[train], minlength=len(distinct))
+    edges = bucket_edges(distinct[real], buckets)
+    for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if hi > lo:
+            rows.append((WORDS, b, chunk, bundle(steps(distinct[real][lo:hi]), known[real][lo:hi]), None))
+    edges = np.searchsorted(left, bucket_edges(distinct, buckets))
+    for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if hi > lo:
+            contexts, dishes = np.unique(left[lo:hi], return_counts=True)
+            own, nth = np.unique(right[lo:hi], return_inverse=True)
+            rows.append((PAIRS, b, chunk, bundle(steps(distinct[contexts]), dishes.astype(np.int32), steps(distinct[own]), nth.astype(np.int32), count[lo:hi]), None))
+    ids, none = docs["doc_id"].fill_null(0).to_numpy(), docs["doc_id"].is_null().to_numpy()
+    real_place = np.cumsum(real) - 1  # of a word among those sent
+    rows.append((KEPT, chunk, chunk, bundle(ids, none.astype(np.uint8), docs["out"].to_numpy().astype(np.uint8), sizes, pair.astype(np.int32), real_place[right].astype(np.int32)), None))
+    return _rows(rows)
+
+
+def _chunks(most: int, buckets: int):
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for nth, docs in enumerate(gathered(batches, most)):
+            yield from chunk_rows(docs, part << 24 | nth, buckets).to_batches()
+
+    return run
+
+
+# ---------------------------------------------------------------- buckets
+
+
+def _sorted_rows(table: pa.Table, kind: int, by: str) -> list[dict]:
+    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r[by])
+
+
+def count_words(table: pa.Table) -> pa.Table:
+    """Training counts of a bucket's words, back to the chunks that sent them."""
+    got = [(r["chunk"], *unbundle(r["blob"], U64, np.int64)) for r in table.to_pylist()]
+    distinct, where, _ = grouped(np.concatenate([climbed(h) for _, h, _ in got]))
+    c = np.bincount(where, np.concatenate([n for _, _, n in got]), len(distinct)).astype(np.int64)
+    bucket, rows, at = table["bucket"][0].as_py(), [], 0
+    for chunk, h, _ in got:
+        rows.append((COUNTS, bucket, chunk, bundle(c[where[at : at + len(h)]]), None))
+        at += len(h)
+    return _rows([*rows, (COUNTS, bucket, -1, b"", [float(c.sum()), float((c > 0).sum()), float((c == 1).sum()), float((c == 2).sum())])])
+
+
+def _up(bucket: int, distinct: np.ndarray, tables: np.ndarray, buckets: int) -> list[tuple]:
+    edges = bucket_edges(distinct, buckets)
+    return [(UP, b, bucket, bundle(steps(distinct[lo:hi]), tables[lo:hi]), None) for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if hi > lo]
+
+
+def merge_pairs(table: pa.Table, buckets: int) -> pa.Table:
+    """The restaurants of a bucket from all chunks' pairs, which of its pairs each chunk's are, and one table for each dish sent up."""
+    got = [(r["chunk"], *unbundle(r["blob"], U64, np.int32, U64, np.int32, np.int64)) for r in table.to_pylist()]
+    left = np.concatenate([np.repeat(climbed(c), n) for _, c, n, _, _, _ in got])
+    right = np.concatenate([climbed(w)[nth] for _, _, _, w, nth, _ in got])
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    new = np.ones(len(left), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    where = np.empty(len(left), np.int64)
+    where[order] = np.cumsum(new) - 1
+    left, right = left[new], right[new]
+    count = np.bincount(where, np.concatenate([x[-1] for x in got]), len(left)).astype(np.int64)
+    contexts, dishes = np.unique(left, return_counts=True)
+    own, nth = np.unique(right, return_inverse=True)
+    bucket, at, places = table["bucket"][0].as_py(), 0, []
+    for x in got:
+        places.append(steps(where[at : at + len(x[-1])]))
+        at += len(x[-1])
+    up = np.bincount(nth, count > 0, len(own)).astype(np.int64)
+    rows = [(STATE, bucket, bucket, bundle(steps(contexts), dishes.astype(np.int32), steps(own), nth.astype(np.int32), count), [float((count == 1).sum()), float((count == 2).sum())])]
+    rows.append((WHERE, bucket, bucket, bundle(np.array([x[0] for x in got], np.int64), np.array([len(p) for p in places], np.int64), np.concatenate(places)), None))
+    return _rows(rows + _up(bucket, own, up, buckets))
+
+
+def seat_root(table: pa.Table, d0: float, n_words: float, root_tables: float, sweep: int) -> pa.Table:
+    """The parent's dishes of a bucket, reseated; to each bucket of contexts what its words weigh beside the base."""
+    got = [(r["chunk"], *unbundle(r["blob"], U64, np.int64)) for r in table.to_pylist()]
+    distinct, where, _ = grouped(np.concatenate([climbed(h) for _, h, _ in got]))
+    customers = np.bincount(where, np.concatenate([n for _, _, n in got]), len(distinct)).astype(np.int64)
+    base, now = np.full(len(distinct), 1 / (n_words + 1)), np.minimum(customers, 1)
+    t = drawn_tables(customers, np.full(len(distinct), ROOT_STRENGTH + d0 * root_tables), base, d0, now, distinct, 1000 + sweep)
+    weight = np.maximum(customers - d0 * t, 0)
+    bucket, rows, at = table["bucket"][0].as_py(), [], 0
+    for chunk, h, _ in got:
+        rows.append((ROOT, bucket, chunk, bundle(weight[where[at : at + len(h)]].astype(np.float32)), None))
+        at += len(h)
+    return _rows([*rows, (ROOT, bucket, -1, b"", [float(customers.sum()), float(t.sum())])])
+
+
+class Restaurants:
+    """A bucket's restaurants: contexts, dishes, customers, tables, and the parent's probability of each word."""
+
+    def __init__(self, table: pa.Table, d1: float, parent):
+        (state,) = _sorted_rows(table, STATE, "bucket")
+        self.bucket = state["bucket"]
+        contexts, dishes, own, self.word, self.count = unbundle(state["blob"], U64, np.int32, U64, np.int32, np.int64)
+        self.contexts, self.words, self.d = climbed(contexts), climbed(own), d1
+        self.context = np.repeat(np.arange(len(self.contexts)), dishes)
+        self.p = parent(np.concatenate([unbundle(r["blob"], np.float32)[0] for r in _sorted_rows(table, ROOT, "bucket")]).astype(np.float64))[self.word]
+        self.customers = np.bincount(self.context, self.count, len(self.contexts))
+        if seats := _sorted_rows(table, SEATS, "bucket"):
+            self.tables, self.sum = unbundle(seats[0]["blob"], np.int64, np.float32)
+        else:
+            self.tables, self.sum = np.minimum(self.count, 1), np.zeros(0, np.float32)
+        self.all_tables = np.bincount(self.context, self.tables, len(self.contexts))
+
+    def predictive(self) -> np.ndarray:
+        """Probability of each pair's word after its context."""
+        back = STRENGTH + self.d * self.all_tables
+        return (np.maximum(self.count - self.d * self.tables, 0) + back[self.context] * self.p) / (STRENGTH + self.customers)[self.context]
+
+    def kept(self) -> np.ndarray:
+        own = self.predictive()
+        return (self.sum + own if len(self.sum) else own).astype(np.float32)
+
+    def reseat(self, sweep: int) -> None:
+        others = self.all_tables[self.context] - self.tables
+        h = mix(self.contexts[self.context] * _P + self.words[self.word])
+        self.tables = drawn_tables(self.count, STRENGTH + self.d * others, self.p, self.d, self.tables, h, sweep)
+
+
+def score_chunk(kept: pa.Table, answers: pa.Table, n_train: float, n_words: float) -> pa.Table:
+    if not kept.num_rows:
+        return _ARROW.empty_table()
+    ids, none, out, sizes, pair, word = unbundle(kept["blob"][0].as_py(), np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32)
+    count = np.concatenate([unbundle(r["blob"], np.int64)[0] for r in _sorted_rows(answers, COUNTS, "bucket")])[word]
+    logs = np.concatenate([unbundle(r["blob"], np.float32)[0] for r in _sorted_rows(answers, ANSWER, "bucket")]).astype(np.float64)
+    first = np.cumsum(sizes) - sizes
+    base = np.log10((count + 1) / (n_train + n_words + 1))
+    each = lambda x: np.add.reduceat(x[pair], first)
+    score = each(logs)
+    columns = [pa.array(ids, mask=none.astype(bool)), out.astype(bool), sizes, each((count > 0).astype(np.int64)), np.full(len(sizes), int(n_train)), each(base), score, 10 ** np.minimum(-score / sizes, 300)]
+    return pa.table([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+# ---------------------------------------------------------------- the model
+
+
+def _stats(rows: DataFrame, n: int) -> list[float]:
+    """Sums over all buckets of their statistics: n numbers, whatever the input."""
+    row = rows.where("stats is not null").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
+    return [x or 0.0 for x in row]
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, chunk_bytes: int = CHUNK_BYTES, least: int = 24) -> DataFrame:
+    """Scores of all texts by the model of those that are not held out; perplexity is that of the text's tokens."""
+    rows = texts(docs, held_out.alias("out"), id_col=id_col, text_col=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("out", F.lit(False)).alias("out"))
+    size = text_bytes(rows)
+    buckets = parts_for(size, chunk_bytes, least)
+    most = max(chunk_bytes, size // buckets)
+    of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+
+    sent = stored(rows.mapInArrow(_chunks(most, buckets), ROW), "chunks", "kind")
+    counts = stored(of(sent, WORDS).groupBy("bucket").applyInArrow(lean(count_words), ROW), "words")
+    n_train, n_words, once, twice = _stats(counts, 4)
+    merged = stored(of(sent, PAIRS).groupBy("bucket").applyInArrow(lean(lambda t: merge_pairs(t, buckets)), ROW), "restaurants", "kind")
+    d1, d0 = discount(*_stats(of(merged, STATE), 2)), discount(once, twice)
+    state, up, seats, root_tables = of(merged, STATE), of(merged, UP), None, n_words
+
+    for sweep in range(sweeps + 1):
+        root = stored(up.groupBy("bucket").applyInArrow(lean(lambda t, n=root_tables, k=sweep: seat_root(t, d0, n_words, n, k)), ROW), "root")
+        root_customers, root_tables = _stats(root, 2)
+
+        def parent(weight: np.ndarray, customers: float = root_customers, tables: float = root_tables) -> np.ndarray:
+            return (weight + (ROOT_STRENGTH + d0 * tables) / (n_words + 1)) / (ROOT_STRENGTH + customers)
+
+        def reseated(left: pa.Table, right: pa.Table, parent=parent, sweep: int = sweep) -> pa.Table:
+            own = Restaurants(pa.concat_tables([left, right]), d1, parent)
+            total = own.kept() if sweep > burn_in else own.sum
+            own.reseat(sweep)
+            up = np.bincount(own.word, own.tables, len(own.words)).astype(np.int64)
+            return _rows([(SEATS, own.bucket, own.bucket, bundle(own.tables, total), None), *_up(own.bucket, own.words, up, buckets)])
+
+        def answered(left: pa.Table, right: pa.Table, parent=parent) -> pa.Table:
+            own = Restaurants(pa.concat_tables([left, right]), d1, parent)
+            logs = np.log10(own.kept().astype(np.float64) / max(1, sweeps - burn_in)).astype(np.float32)
+            (where,) = _sorted_rows(left, WHERE, "bucket")
+            chunks, sizes, places = unbundle(where["blob"], np.int64, np.int64, np.int64)
+            ends = np.cumsum(sizes)
+            return _rows([(ANSWER, own.bucket, c, bundle(logs[climbed(places[e - n : e])]), None) for c, n, e in zip(chunks.tolist(), sizes.tolist(), ends.tolist(), strict=True)])
+
+        last = sweep == sweeps
+        whole = state if seats is None else state.unionByName(seats)
+        if last:
+            whole = whole.unionByName(of(merged, WHERE))
+        right = root.where("chunk >= 0").withColumn("to", F.col("chunk"))
+        both = whole.withColumn("to", F.col("bucket")).groupBy("to").cogroup(right.groupBy("to"))
+        drop = lambda f: lambda left, right: f(left.drop_columns("to"), right.drop_columns("to"))
+        if last:
+            answers = both.applyInArrow(lean(drop(answered)), ROW)
+        else:
+            state_now = stored(both.applyInArrow(lean(drop(reseated)), ROW), "seats", "kind")
+            seats, up = of(state_now, SEATS), of(state_now, UP)
+    answers = counts.where("chunk >= 0").unionByName(answers).groupBy("chunk")
+    return of(sent, KEPT).groupBy("chunk").cogroup(answers).applyInArrow(lean(lambda left, right: score_chunk(left, right, n_train, n_words)), SCHEMA)
+
+
+def perplexity(scores: DataFrame) -> float:
+    """Perplexity over all tokens of scored texts."""
+    row = scores.agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    return 10 ** (-row["s"] / row["n"]) if row["n"] else float("nan")

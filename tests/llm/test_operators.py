@@ -1,11 +1,8 @@
 """Each operator against brute force on a small fixture, and on nulls, empty texts, ties, repeated rows, an empty table and clashing columns."""
 
 import hashlib
-import math
 import random
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomwright.llm import bpe, chat, decontaminate, fingerprints, language, language_model, near_duplicates, quality, secrets, token_counts  # noqa: E402
+from loomwright.llm import bpe, chat, decontaminate, fingerprints, language, near_duplicates, quality, secrets, token_counts  # noqa: E402
 from loomwright.llm.common import held_out, unpacked, unpacked_sorted  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, n_tokens string, score string, sketch string"
@@ -190,49 +187,6 @@ def test_bpe(docs, empty):
     assert bpe.encode_digests(empty, path).count() == 0 and {r.doc_id: r.decoded for r in bpe.encode_documents(docs, path).collect()} == own
 
 
-def test_language_model(docs, empty):
-    got = {r.doc_id: r for r in language_model.score_texts(docs, held_out("doc_id", 7, 2)).collect()}
-    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    tokens = {r[0]: [w for w in re.split(r"[\x20\x09-\x0d]+", (r[1] or "").translate(lower)) if w] + [None] for r in rows()}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c = Counter(w for i, t in tokens.items() if not out[i] for w in t)
-    n, v = c.total(), len(c)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
-    assert sum(r.score for r in got.values() if not r.held_out) > sum(r.base_score for r in got.values() if not r.held_out)
-    assert language_model.score_texts(empty, held_out("doc_id", 7, 2)).count() == 0
-
-
-def test_scores_do_not_depend_on_the_number_of_chunks(spark, monkeypatch):
-    texts = [" ".join(f"a{i} b{i} {w}" if k % 2 else f"a{i} b{i}" for k, w in enumerate(prose(i, 40).split())) for i in range(60)]  # a pair of its own in each
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
-    score = {}
-    for chunks in (1, 24):
-        monkeypatch.setattr(language_model, "chunks_for", lambda _, n=chunks: n)
-        score[chunks] = {r.doc_id: r.score for r in language_model.score_texts(table, held_out("doc_id", 7, 2)).collect()}
-    assert score[1] == pytest.approx(score[24], rel=0.02)
-
-
-def stirling_mean(c, a, d):
-    """Mean number of tables of c customers under weights a**t times the generalised Stirling number, by its recurrence."""
-    w = np.array([0.0, 1.0])
-    for k in range(1, c):
-        t = np.arange(len(w))
-        w = np.append((k - d * t) * w, 0) + a * np.append(0, w)
-        w /= w.sum()
-    return (w * np.arange(len(w))).sum()
-
-
-def test_seating_follows_the_process():
-    for c, a, d in ((2, 0.4, 0.8), (20, 1.5, 0.5), (60, 5.0, 0.7)):
-        assert language_model.seated(np.full(4000, c), np.full(4000, a), d, 3).mean() == pytest.approx(stirling_mean(c, a, d), rel=0.12)
-    for c, a, d in ((300, 2.0, 0.5), (300, 200.0, 0.8)):
-        assert language_model.expected_tables(np.array([float(c)]), np.array([a]), d)[0] == pytest.approx(stirling_mean(c, a, d), rel=0.1)
-    assert list(language_model.seated(np.array([0, 1]), np.ones(2), d, 1)) == [0, 1]
-
-
 def test_token_counts(docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = public_tokenizers.path("piece_bpe_32k.model")
