@@ -2,10 +2,13 @@
 
 Greedy longest match over a trie proposes tokens for every distinct pre-token at once. A sequence of tokens is what
 merging by rank gives if each token is what its own bytes merge to and each adjacent pair stays apart when merged
-alone; that is tested for all pairs at once by taking tokens apart along the border. Only words that fail, or are very
-long, are merged step by step.
+alone; that is tested for all pairs at once by taking tokens apart along the border. Only words that fail are merged
+step by step. In a word of more than PIECE bytes the proposal begins afresh every PIECE bytes; the pairs across these
+borders are tested like all others.
 
-Nulls and empty texts have no tokens. An empty table gives an empty result.
+A tokenizer file of another kind (with a normalizer, another way of cutting, dropout and the like) is refused. Nulls and
+empty texts have no tokens. Equal texts have equal ids; rows with equal or null ids are encoded each; an empty table
+gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from pyspark.sql import DataFrame
 
 from .common import ragged, slices, texts
 
-#: Words of more bytes are merged step by step at once.
-LONGEST = 64
-#: Distinct words whose tokens a worker keeps.
-KEPT = 250_000
+#: Bytes after which a long word's proposal begins afresh.
+PIECE = 256
+#: Bytes up to which words that fail are merged side by side; longer ones one by one.
+TOGETHER = 64
+#: Characters of the distinct words whose tokens a worker keeps.
+KEPT = 8 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: How this kind of tokenizer cuts a text before merging (fixed value of the published format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,6 +52,7 @@ class Model:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._accept(spec)
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         byte = {c: b for b, c in enumerate(byte_characters())}
         self.bytes = [bytes([b]) for b in range(256)]
@@ -87,6 +93,19 @@ class Model:
         self.text_bytes = np.frombuffer(b"".join(self.text_of.get(i, b"") for i in range(size)), np.uint8)
         self._forget()
 
+    @staticmethod
+    def _accept(spec: dict) -> None:
+        """Refuse a file that asks for more than cutting by PATTERN and merging."""
+        model, cut, back = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "fuse_unk", "byte_fallback") if model.get(k)]
+        odd += ["normalizer"] if spec.get("normalizer") else []
+        odd += ["pre_tokenizer"] if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space", True) or not cut.get("use_regex", True) else []
+        odd += ["decoder"] if back.get("type") != "ByteLevel" else []
+        odd += ["model"] if model.get("type", "BPE") != "BPE" else []
+        odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") and spec.get("normalizer")]
+        if odd:
+            raise ValueError(f"this tokenizer file needs what is not built: {', '.join(odd)}")
+
     def _trie(self) -> None:
         node_of, step, accept = {b"": 0}, {}, [-1]
         for t, text in enumerate(self.bytes):
@@ -209,10 +228,12 @@ class Model:
         lengths = np.array([len(w) for w in words], np.int64)
         body = np.frombuffer(b"".join(words) or b"\0", np.uint8)
         ends = np.cumsum(lengths)
-        fail = lengths > LONGEST if self.simple else np.ones(len(words), bool)
+        fail = np.full(len(words), not self.simple)
         trial = np.flatnonzero(~fail & (lengths > 0))
-        w, t = self.greedy(body, ends[trial] - lengths[trial], ends[trial])
-        w = trial[w]
+        pieces = -(-lengths[trial] // PIECE)
+        begin = np.repeat(ends[trial] - lengths[trial], pieces) + PIECE * ragged(np.zeros(len(trial), np.int64), pieces)
+        w, t = self.greedy(body, begin, np.minimum(begin + PIECE, np.repeat(ends[trial], pieces)))
+        w = np.repeat(trial, pieces)[w]
         fail[w[~self.sound[t]]] = True
         pair = np.flatnonzero(w[1:] == w[:-1])
         keys, back = np.unique(t[pair] << 20 | t[pair + 1], return_inverse=True)
@@ -222,10 +243,10 @@ class Model:
         w, t = w[keep], t[keep]
         if fail.any():
             more = [(w, t)]
-            for low, high in ((0, 8), (8, 12), (12, 18), (18, 30), (30, LONGEST)):
+            for low, high in ((0, 8), (8, 12), (12, 18), (18, 30), (30, TOGETHER)):
                 short = np.flatnonzero(fail & (lengths > low) & (lengths <= high)) if self.simple else lengths[:0]
                 more.append(self.merged_together(body, short, ends, lengths, high))
-            each = [(i, self.merged(words[i])) for i in np.flatnonzero(fail & (lengths > LONGEST * self.simple)).tolist()]
+            each = [(i, self.merged(words[i])) for i in np.flatnonzero(fail & (lengths > TOGETHER * self.simple)).tolist()]
             more += [(np.full(len(x), i), np.array(x, np.int64)) for i, x in each]
             w, t = (np.concatenate(x) for x in zip(*more, strict=True))
             order = np.argsort(w, kind="stable")
@@ -244,7 +265,7 @@ class Model:
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after the other, and the number of each text's ids."""
-        if len(self.known) > KEPT:
+        if self.size > KEPT:
             self._forget()
         get, put, old = self.known.get, self.known.setdefault, len(self.known)
         where, sizes = [], []
@@ -255,6 +276,7 @@ class Model:
                 at[i] = put(cut[i], len(self.known))
             where.append(at), sizes.append(len(cut))
         new = list(islice(self.known, old, None))
+        self.size += sum(map(len, new))
         ids, counts = self.encode_words([b"" if w in self.special else w.encode() for w in new])
         for w in self.special:
             if (i := get(w, -1)) >= old:
@@ -269,7 +291,7 @@ class Model:
         return out, np.diff(edges[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)])
 
     def _forget(self) -> None:
-        self.known, self.pool, self.counts = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.size, self.pool, self.counts = {}, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bytes of all texts and the number of each text's bytes."""

@@ -5,7 +5,8 @@ after the first character of each control string, so that no control string is l
 away and keeping what follows gives the original back. A line break in a role gets a backslash before it.
 
 Nulls: a null role or text is empty, null conversation ids are one conversation, null turns come first. Equal turns are
-ordered by role and text. An empty table gives an empty result.
+ordered by role and text, and repeated rows are turns each. A turn's text is in one segment, however long. An empty table
+gives an empty result. Columns other than the four named ones are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,27 +71,39 @@ def assembled(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _segments(batches):
-    """One row for each conversation of each slice; a conversation that goes on in the next slice is not `last`."""
+    """One row for each conversation of each slice; a conversation that goes on in the next slice is not `last`.
+
+    A slice's text column is the assembled buffer itself, with offsets where conversations begin; likewise the spans.
+    """
     held, number = None, 0  # the last row waits until the next slice shows whether its conversation goes on
+    text_kind, loss_kind = _ARROW.field("formatted").type, _ARROW.field("loss").type
 
-    def row(r, last):
-        return pa.RecordBatch.from_pylist([r | {"last": last}], schema=_ARROW)
+    def row(of: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+        return of.set_column(2, "last", pa.array([last], pa.bool_()))
 
     for batch in batches:
         for part in slices(batch):
-            conv = part.column("conv_id").to_pylist()
+            conv = part.column("conv_id")
             buffer, offsets, start, stop = assembled(part.column("role"), part.column("text"))
             chars = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-            loss = np.array([r == "assistant" for r in part.column("role").to_pylist()])
-            cut = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                if held is not None:
-                    same = held["conv_id"] == conv[a]
-                    yield row(held, not same)
-                    number = number + 1 if same else 0
-                low = chars[offsets[a]]
-                spans = [{"start": int(chars[start[i]] - low), "stop": int(chars[stop[i]] - low)} for i in range(a, b) if loss[i]]
-                held = {"conv_id": conv[a], "segment": number, "n_turns": b - a, "formatted": buffer[offsets[a] : offsets[b]].tobytes().decode(), "loss": spans}
+            loss = pc.fill_null(pc.equal(part.column("role"), "assistant"), False).to_numpy(zero_copy_only=False)
+            ids, none = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1]), [True]]))
+            same = held is not None and held.column("conv_id")[0].as_py() == conv[0].as_py()
+            if held is not None:
+                yield row(held, not same)
+            segment = np.zeros(len(cut) - 1, np.int32)
+            segment[0] = number + 1 if same else 0
+            number = int(segment[-1])
+            spans = np.flatnonzero(loss)
+            low = np.repeat(chars[offsets[cut[:-1]]], np.diff(cut))[spans]
+            span = pa.StructArray.from_arrays([pa.array(chars[x[spans]] - low, pa.int32()) for x in (start, stop)], fields=list(loss_kind.value_type))
+            formatted = pa.Array.from_buffers(text_kind, len(cut) - 1, [None, pa.py_buffer(offsets[cut].astype(np.int32)), pa.py_buffer(buffer)])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(spans, cut), pa.int32()), span, type=loss_kind)
+            whole = pa.RecordBatch.from_arrays([conv.take(pa.array(cut[:-1])), pa.array(segment), pa.array(np.ones(len(segment), bool)), pa.array(np.diff(cut), pa.int32()), formatted, lists], schema=_ARROW)
+            if len(segment) > 1:
+                yield whole.slice(0, len(segment) - 1)
+            held = whole.slice(len(segment) - 1)
     if held is not None:
         yield row(held, True)
 

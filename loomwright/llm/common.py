@@ -103,6 +103,12 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
+def low_hash(h: Column, of: Column, share: dict) -> Column:
+    """Whether a 64-bit hash is among the share of lowest ones that the group `of` names; a share of 1 or more is all."""
+    limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, min(int(s * 2.0**64) - (1 << 63), (1 << 63) - 1))])
+    return h <= limit[of]
+
+
 # ---------------------------------------------------------------- arrow
 
 

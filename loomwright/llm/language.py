@@ -1,33 +1,36 @@
 """Language identification by known words first, then by ever shorter character n-grams.
 
-A word that the training texts hold is scored by its log frequency in each language. Any other word falls back to its
-character n-grams (with marks at its ends), from the longest to single characters, at the first length of which any is
-known. A text's score is the posterior of its best language over the sum of its words.
-
-A null text, or one without a letter, is `und` with score 0. Ties go to the language first in alphabetical order.
-Where nothing can be learned every text is `und`. Null languages teach nothing.
+A word is a run of letters and the marks on them. A word that the training texts hold is scored by its log frequency in
+each language. Any other word falls back to its character n-grams (with marks at its ends), from the longest to single
+characters, at the first length of which any is known. A text's score is the posterior of its best language over the sum
+of its words.
+
+A null or empty text, or one without a letter, is `und` with score 0. Ties go to the language first in alphabetical
+order. Where nothing can be learned every text is `und`. Null languages teach nothing. Equal texts have equal
+predictions; rows with equal or null ids are predicted each; an empty table gives an empty result; further columns are
+not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, mix, ragged, short_batches, slices
+from .common import grouped, low_hash, mix, ragged, short_batches, slices
 
 #: Training texts for each language, about; a bounded sample by a hash of the id.
 TRAIN_TEXTS = 800
 LONGEST = 5
-#: Distinct words whose scores a worker keeps.
-KEPT = 200_000
+#: Characters of the distinct words whose scores a worker keeps.
+KEPT = 4 << 20
 SCHEMA = "doc_id long, lang_pred string, score double"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -53,12 +56,9 @@ class Model:
         self.langs = sorted(counts)
         total = sum(c.total() for c in counts.values())
         self.prior = np.log([(counts[k].total() + 1) / (total + len(counts)) for k in self.langs]) if counts else np.zeros(0)
-        seen = sum(counts.values(), Counter())
-        kept = [w for w, c in seen.items() if c >= 2]
-        own = np.array([[counts[k][w] for k in self.langs] for w in kept], np.float64).reshape(len(kept), len(self.langs))
-        self.words, self.scores = dict(zip(kept, range(len(kept)), strict=True)), self._logs(own)
-        every = list(seen)
+        every = sorted(set().union(*counts.values())) if counts else []
         times = np.array([[counts[k][w] for k in self.langs] for w in every], np.float64).reshape(len(every), len(self.langs))
+        self.words, self.scores = dict(zip(every, range(len(every)), strict=True)), self._logs(times)
         self.levels = {}
         for n in range(1, LONGEST + 1):
             word, h = grams(every, n)
@@ -72,7 +72,7 @@ class Model:
         return logs.astype(np.float32)
 
     def _forget(self) -> None:
-        self.cached, self.pool = {}, np.zeros((0, len(self.langs)), np.float32)
+        self.cached, self.size, self.pool = {}, 0, np.zeros((0, len(self.langs)), np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word in each language, less that in its best one; 0 for words of unknown characters."""
@@ -97,7 +97,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        if len(self.cached) > KEPT:
+        if self.size > KEPT:
             self._forget()
         get, put, old = self.cached.get, self.cached.setdefault, len(self.cached)
         where = []
@@ -109,6 +109,7 @@ class Model:
             where.append(at)
         new = list(islice(self.cached, old, None))
         if new:
+            self.size += sum(map(len, new))
             self.pool = np.concatenate([self.pool, self.word_scores(new)])
         sizes = np.array([len(x) for x in where], np.int64)
         doc = np.repeat(np.arange(len(texts)), sizes)
@@ -136,8 +137,7 @@ def fit(docs: DataFrame, train: Column | None = None, lang_col: str = "lang", te
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    picked = rows.where(low_hash(F.xxhash64("doc_id"), F.col("lang"), {k: per_lang / n for k, n in sizes.items()}))
     found = picked.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
     for r in found.toLocalIterator():

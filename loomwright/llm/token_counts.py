@@ -1,27 +1,38 @@
-"""Token counts without token ids: each distinct pre-token is encoded once, its count joined to each text's pre-token frequencies and summed.
+"""Token counts without token ids of any text: each distinct pre-token is counted once, joined to each text's pre-token frequencies and summed.
+
+1. Texts are read once, in chunks. A chunk keeps each text's frequencies of the chunk's distinct pre-tokens, packed, and
+   a list of these pre-tokens.
+2. The distinct pre-tokens of all chunks are the rows of one table; the model counts the pieces of each, once.
+3. A join on the pre-token brings the counts to the chunks, where they are summed by frequency. A pre-token that most
+   texts hold is one row for each chunk in that join, not one for each text.
 
 For a byte-pair model with byte fallback, whose pieces hold a space only at their start, no merge reaches over the
 beginning of a run of spaces or over a line break; a text is the sum of such pre-tokens. load() checks that.
 
-Nulls and empty texts have 0 tokens. Equal texts have equal counts. An empty table gives an empty result.
+Nulls and empty texts have 0 tokens. Equal texts have equal counts; rows with equal or null ids are counted each. An
+empty table gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bundle, gathered, lean, slices, stored, texts, unbundle
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 _PRETOKEN = re.compile(r" *[^ \n]+|\n| +")
-#: Distinct pre-tokens that a worker keeps.
-KEPT = 200_000
+#: Bytes of text of a chunk.
+CHUNK_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -33,7 +44,7 @@ def load(path: str):
         piece = model.id_to_piece(i)
         if "▁" in piece.lstrip("▁") or ("\n" in piece and piece != "\n"):
             raise ValueError(f"piece {piece!r} reaches over a pre-token's end")
-    return model, {}
+    return model
 
 
 def pretokens(text: str) -> list[str]:
@@ -41,31 +52,57 @@ def pretokens(text: str) -> list[str]:
     return _PRETOKEN.findall(" " + text.replace("▁", " ")) if text else []
 
 
-def count_tokens(batch: pa.RecordBatch, path: str) -> list[int]:
-    model, known = load(path)
-    each = [Counter(pretokens(t)) for t in batch.column("text").to_pylist()]
-    new = list({w for c in each for w in c if w not in known})
+def count_pieces(words: list[str], path: str) -> np.ndarray:
+    """Number of pieces of each pre-token."""
     # A line break before a pre-token keeps the model's own leading space away from it: two pieces more.
-    counts = {w: len(ids) - 2 for w, ids in zip(new, model.encode(["\n" + w for w in new], num_threads=1), strict=True)} if new else {}
-    both = known | counts if len(known) < 1000 else None
-    if both is None:
-        known.update(counts)
-        both = known
-    out = [sum(n * both[w] for w, n in c.items()) for c in each]
-    if both is not known:
-        known.update(counts)
-    if len(known) > KEPT:
-        known.clear()
-    return out
+    return np.array([len(ids) - 2 for ids in load(path).encode(["\n" + w for w in words], num_threads=1)], np.int32) if words else np.zeros(0, np.int32)
+
+
+def frequencies(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of all texts; and for each text and pre-token that it has: text, pre-token, frequency."""
+    known: dict[str, int] = {}
+    get, put, where, sizes = known.get, known.setdefault, [], []
+    for text in column.to_pylist():
+        cut = pretokens(text)
+        at = np.fromiter(map(get, cut, repeat(-1)), np.int64, len(cut))
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = put(cut[i], len(known))
+        where.append(at), sizes.append(len(cut))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    codes, n = np.unique(row * max(len(known), 1) + (np.concatenate(where) if where else 0), return_counts=True) if len(row) else (row, row)
+    return list(known), codes // max(len(known), 1), codes % max(len(known), 1), n
+
+
+def _chunks(batches):
+    part = TaskContext.get().partitionId()
+    for nth, docs in enumerate(gathered(batches, CHUNK_BYTES)):
+        words, row, word, n = frequencies(docs["text"])
+        ids, none = docs["doc_id"].fill_null(0).to_numpy(), docs["doc_id"].is_null().to_numpy()
+        size = pc.binary_length(docs["text"]).to_numpy().astype(np.int64)
+        blob = bundle(ids, none.astype(np.uint8), size, np.bincount(row, minlength=len(ids)), word.astype(np.int32), n.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([part << 24 | nth]), pa.array([blob], pa.binary()), pa.array([words], pa.list_(pa.string()))], names=["chunk", "texts", "words"])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text for the sentencepiece model at path."""
 
-    def run(batches):
+    def counted(batches):
         for batch in batches:
-            for part in slices(batch):
-                n = pa.array(count_tokens(part, path), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.binary_length(part.column("text")).cast(pa.int64()), n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, SCHEMA)
+            for part in slices(batch, "word"):
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(count_pieces(part.column("word").to_pylist(), path))], names=["word", "n"])
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, none, size, own, word, times = unbundle(left["texts"][0].as_py(), np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
+        n = np.zeros(right.num_rows, np.int64)
+        n[right["nth"].to_numpy()] = right["n"].to_numpy()
+        ends = np.cumsum(own)
+        sums = np.concatenate([[0], np.cumsum(n[word] * times)])
+        total = sums[ends] - sums[ends - own]
+        return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(size), pa.array(total, pa.int64()), pa.array(total > limit)], schema=_ARROW)
+
+    rows = texts(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chunks = stored(rows.mapInArrow(_chunks, "chunk long, texts binary, words array<string>"), "pretokens")
+    each = chunks.select(F.col("chunk").alias("to"), F.posexplode("words").alias("nth", "word"))
+    counts = stored(each.select("word").distinct().mapInArrow(counted, "word string, n int"), "pieces")
+    answers = each.join(counts, "word").select("to", "nth", "n")
+    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(lean(summed), SCHEMA)

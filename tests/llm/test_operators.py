@@ -107,6 +107,22 @@ def test_chat(spark):
             assert not any(c in body for c in chat.CONTROL)
 
 
+def test_long_and_hot_conversations(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"{k} é </s> " * 30_000) for k in range(30)] + [(2, 0, "user", "x" * 6_000_000), (2, 1, "assistant", "ok"), (3, 0, "assistant", ""), (3, 0, "assistant", "")]
+    df = spark.createDataFrame([(*t, "c", True) for t in turns], "conv_id long, turn long, role string, text string, segment string, last boolean")
+    segments = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.read_back(segments).collect()}
+    for c in (1, 2, 3):
+        own = [(r, t) for k, _, r, t in turns if k == c]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+    rows = segments.select("conv_id", "segment", "last").collect()
+    for c in (1, 2, 3):
+        own = [(r.segment, r.last) for r in rows if r.conv_id == c]
+        assert own == [(k, k == len(own) - 1) for k in range(len(own))] and (c != 1 or len(own) > 2)
+
+
 def test_quality(spark, docs, empty):
     bad = [(100 + i, " ".join(w.upper() + "!!" for w in prose(i, 50).split())) for i in range(60)] + [(200 + i, prose(500 + i, 50)) for i in range(60)]
     table = spark.createDataFrame(bad, "doc_id long, text string")
@@ -122,6 +138,60 @@ def test_quality(spark, docs, empty):
     long = pa.array([prose(1, 4000), prose(1, 4000) + " " + "AB!! " * 300])
     a, b = net.scores(long)
     assert a > b  # what comes last counts too
+    # labelled texts that are all long are fitted to, by chunks at even distances
+    far = table.withColumn("text", F.concat(F.lit(" " * 20_000), F.repeat("text", 60)))
+    spread = quality.score(far, quality.fit(far, labels, ~out)).join(labels, "doc_id").where(out)
+    assert spread.where("predicted = quality").count() >= 0.9 * spread.count()
+
+
+def plain_channels(net, text):
+    """The network's pooled channels by loops over positions."""
+    data, step, rows = text.encode(), quality.CHUNK - quality.OVERLAP, []
+    for begin in range(0, max(1, len(data) - quality.OVERLAP), step) if data else ():
+        line = np.frombuffer(data[begin : begin + quality.CHUNK].ljust(quality.CHUNK, b"\0"), np.uint8)
+        x = net.embed[line]
+        best = [max(0.0, max(float((x[k : k + quality.WIDTH].ravel() * net.filters[:, f]).sum()) + net.bias[f] for k in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE))) for f in range(quality.FILTERS)]
+        share = max((line[k - lag] == line[k]) & (line[k] > 0) if quality.SPAN == 1 else sum(bool(line[i] == line[i - lag] and line[i]) for i in range(k, k + quality.SPAN)) / quality.SPAN for lag in quality.LAGS for k in range(lag, quality.CHUNK - quality.SPAN + 1))
+        rows.append([*best, share])
+    if not rows:
+        return np.zeros(2 * (quality.FILTERS + 1))
+    return np.concatenate([np.max(rows, axis=0), np.mean(rows, axis=0)])
+
+
+def test_quality_network_is_a_convolution():
+    net = quality.Network(3)
+    net.bias[:] = np.linspace(-0.2, 0.2, quality.FILTERS)
+    texts = [prose(4, 30), prose(5, 250), "", "ab" * 90]
+    want = [1 / (1 + np.exp(-(plain_channels(net, t) @ net.out + net.base[0]))) for t in texts]
+    assert net.scores(pa.array(texts)) == pytest.approx(want, rel=1e-4)
+
+
+def test_quality_gradients_are_those_of_the_loss():
+    net, label = quality.Network(5), np.array([1.0, 0.0], np.float32)
+    body, offsets = quality.flat(pa.array([prose(6, 260), prose(7, 80)]))
+    begin, end, own = quality.chunks_of(offsets)
+    lines = quality.windows(body, begin, end)
+    periodic = quality.repeats(lines)
+    params = [net.embed, net.filters, net.bias, net.out, net.base]
+
+    def loss():
+        c = np.concatenate([net.convolved(lines)[0], periodic[:, None]], axis=1).astype(np.float64)
+        f = np.array([np.concatenate([c[own == i].max(axis=0), c[own == i].mean(axis=0)]) for i in range(2)])
+        p = 1 / (1 + np.exp(-(f @ net.out + net.base)))
+        return -(label * np.log(p) + (1 - label) * np.log(1 - p)).mean() + 5e-5 * (net.out**2).sum()
+
+    got = net.gradients(lines, periodic, own, label)
+    for q, g in zip(params, got):
+        # along the gradient, a step of which changes the loss by its length
+        if np.abs(g).max() > 1e-6:
+            way = g / np.sqrt((g**2).sum())
+            saved, e = q.copy(), 2e-4
+            q[...] = saved + e * way
+            up = loss()
+            q[...] = saved - e * way
+            down = loss()
+            q[...] = saved
+            assert (up - down) / (2 * e) == pytest.approx(float(np.sqrt((g.astype(np.float64) ** 2).sum())), rel=0.05)
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -184,10 +254,17 @@ def test_bpe(docs, empty):
     odd = ["".join(rng.choice("ab <|endoftext|>'s é\n\t中😀 1") for _ in range(rng.randint(0, 80))) for _ in range(300)] + ["<|endoftext|>x<|endoftext|>", "z" * 300]
     ids, n = model.encode(odd)
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
+    # long words: proposals that begin afresh, and exact merging of what fails
+    alphabet = "abcdefghij"
+    long = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (200, 257, 512, 700, 3000)] + ["the" * 400, "a" * 1000, "中" * 500, "=" * 4000, " " * 900]
+    ids, n = model.encode(long)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in lib.encode_batch(long, add_special_tokens=False)]
+    with pytest.raises(ValueError, match="not built"):
+        bpe.Model(public_tokenizers.path("word_bpe_49k.json"))
     assert bpe.encode_digests(empty, path).count() == 0 and {r.doc_id: r.decoded for r in bpe.encode_documents(docs, path).collect()} == own
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(spark, docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -195,11 +272,21 @@ def test_token_counts(docs, empty):
     for i, t, *_ in rows():
         n = len(lib.encode(t or ""))
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 4096)
-    odd = ["▁a▁▁b", "<s>hi</s>", " lead", "trail  ", "a\n\n b", "\n", "é中😀"]
-    assert token_counts.count_tokens(pa.RecordBatch.from_pydict({"text": odd}), path) == [len(x) for x in lib.encode(odd)]
+    odd = ["▁a▁▁b", "<s>hi</s>", " lead", "trail  ", "a\n\n b", "\n", "é中😀", "z" * 200_000, None]
+    table = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(odd)], "doc_id long, text string").coalesce(1)
+    found = token_counts.token_counts(table, path).collect()
+    assert [r.n_tokens for r in found] == [len(x) for x in lib.encode([t or "" for t in odd])] and [r.doc_id for r in found] == [None if i % 2 else 7 for i in range(9)]
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_each_pretoken_is_counted_once(docs, monkeypatch):
+    path, seen = public_tokenizers.path("piece_bpe_32k.model"), docs.sparkSession.sparkContext.accumulator(0)
+    own = token_counts.count_pieces
+    monkeypatch.setattr(token_counts, "count_pieces", lambda words, path: (seen.add(len(words)), own(words, path))[1])
+    token_counts.token_counts(docs, path).collect()
+    assert seen.value == len({w for r in rows() for w in token_counts.pretokens(r[1] or "")})
+
+
 def test_language(spark, empty, docs):
     table = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["the", "house", "walked", "ring"] if i % 2 else ["le", "maison", "était", "école"], k=12)), "en" if i % 2 else "fr") for i in range(80)], "doc_id long, text string, lang string")
     model = language.fit(table, ~held_out("doc_id", 4, 2))
