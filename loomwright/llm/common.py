@@ -10,10 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of input for each chunk of the blob exchange.
-CHUNK_BYTES = 5 << 19
 #: Bytes of text that are looked at together by the vectorised code.
 BLOCK_BYTES = 1 << 20
 
@@ -65,27 +60,6 @@ def parts_for(size: int, each: int, least: int = 24, pivot: int = 256) -> int:
     return max(least, n if n <= pivot else int(np.ceil((n * pivot) ** 0.5)))
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that are stored and no longer referenced.
-
-    The first round frees what Python still holds of the JVM's objects, the second what only those held; Spark's cleaner
-    then works beside us.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.8)
-
-
-def bytes_of(df: DataFrame) -> int:
-    """Size of df: of a plain scan as the optimiser knows it from its files, else the bytes of its texts, counted."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    if size < 1 << 52 and not re.search(r"Join|LogicalRDD|Aggregate|Generate|Union", plan.toString()):
-        return size
-    return (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 + 1
-
-
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows than Spark's 10,000, unless the session names a number: texts can be long, and a batch is held twice."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -299,23 +273,10 @@ def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], where, np.flatnonzero(new)
 
 
-def chunks_for(docs: DataFrame) -> int:
-    return max(48, -(-bytes_of(docs) // CHUNK_BYTES))
-
-
 def chunk_of(chunks: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("int").alias("chunk")
 
 
-def hash_bits(docs: DataFrame) -> int:
-    """Leading bits of a hash, a whole number of bytes, that tell about as many things as docs has bytes apart: chance of a clash below 2**-19."""
-    return min(64, -(-(max(1, bytes_of(docs)).bit_length() + 19) // 8) * 8)
-
-
-def cut_to(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return hashes if bits == 64 else hashes & U64((1 << 64) - (1 << 64 - bits))
-
-
 def _pack(batches):
     """Rows (chunk, doc_id, text, flag) as a compressed blob for each chunk of a batch."""
     for batch in (part for whole in batches for part in slices(whole, most=8 << 20)):
@@ -366,9 +327,9 @@ def _whole(blob: bytes) -> bytes:
 
 
 SENT = "bucket int, chunk int, n int, blob binary"
-ANSWER = "chunk int, kind int, bucket int, n int, blob binary, stats array<double>"
+ANSWER = "chunk int, kind int, bucket int, n int, blob binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.float64()))])
+_ANSWER = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 
 
 def sent(hashes: np.ndarray, values: list[np.ndarray], chunk: int, buckets: int, kind: int = 0) -> pa.Table:
@@ -396,15 +357,13 @@ class Received:
     def sums(self, k: int) -> np.ndarray:
         return np.bincount(self.where, self.values[k], len(self.hashes))
 
-    def answers(self, kind: int, bucket: int, values: list[np.ndarray], stats: list[float] | None = None) -> pa.Table:
-        """To each chunk the values of the hashes that it sent, in its order; stats go into one row more, of chunk -1."""
+    def answers(self, kind: int, bucket: int, values: list[np.ndarray]) -> pa.Table:
+        """To each chunk the values of the hashes that it sent, in its order."""
         rows, at = [], 0
         for chunk, n in zip(self.chunks, self.sizes, strict=True):
             own = self.where[at : at + n]
-            rows.append((chunk, kind, bucket, n, _small(b"".join(packed(np.ascontiguousarray(v[own])) for v in values)), None))
+            rows.append((chunk, kind, bucket, n, _small(b"".join(packed(np.ascontiguousarray(v[own])) for v in values))))
             at += n
-        if stats is not None:
-            rows.append((-1, kind, bucket, 0, b"", stats))
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
 
@@ -418,9 +377,3 @@ def answered(table: pa.Table, kind: int, *kinds: type) -> list[np.ndarray]:
             v.append(unpacked(blob, kind_, n, at))
             at += np.dtype(kind_).itemsize * n
     return [np.concatenate(v) for v in values]
-
-
-def stats_of(answers: DataFrame, kind: int, n: int) -> list[float]:
-    """Sums over all buckets of their statistics: n numbers, whatever the input."""
-    row = answers.where((F.col("chunk") == -1) & (F.col("kind") == kind)).agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(n)]).first()
-    return [x or 0.0 for x in row]

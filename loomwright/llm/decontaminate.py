@@ -12,7 +12,9 @@ least are looked up among all shingles of all documents. Candidates are verified
 distinct shingles that the document holds must reach the threshold.
 
 Nulls, empty texts and texts without a word match nothing. An item of one to four words has one shingle of all its
-words and matches documents of just these words. Rows with equal ids are one document (or item) with all their shingles.
+words and matches documents of just these words. Rows with equal ids are one document (or item) with all their shingles,
+rows without an id likewise; without_contaminated() goes by the text alone, so that ids may repeat or be null there.
+Empty tables give an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -63,7 +65,9 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     # an item's shingles that a document must hold, and as many of them as cannot all be missing
     needed = F.ceil(F.lit(threshold) * F.size("hashes") - 1e-9)
     short = F.slice("hashes", F.lit(1), (F.size("hashes") - F.greatest(needed, F.lit(1)) + 1).cast("int"))
-    classes = F.sequence(F.lit(0), F.lit(BITS - 2))
+    # no text has more shingles than words, nor a word less than a byte and a gap
+    longest = docs.agg(F.max(F.octet_length(text_col))).first()[0] or 0
+    classes = F.sequence(F.lit(0), F.lit((longest // 2 + 1).bit_length()))
     per_item = wanted.groupBy("item_id").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
     least = stored(exploded(per_item.where(needed < SURE), short, "item_id"), "short-items")
     # without short items no document's shingles are sent along
@@ -83,9 +87,11 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     return both.withColumn("containment", F.col("shared") / F.col("item_shingles")).where(F.col("containment") >= threshold)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **columns: str) -> DataFrame:
-    """The documents that hold no item."""
-    hits = stored(find_contained(docs, items, threshold, **columns).select("doc_id").distinct(), "contaminated")
-    gone = hits.withColumnRenamed("doc_id", "__gone")
-    n = hits.count()
-    return docs.join(_small(gone, n, 16), docs[columns.get("id_col", "doc_id")] == F.col("__gone"), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **columns: str) -> DataFrame:
+    """The documents that hold no item; rows with equal texts, whatever their ids, stay or go together."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    hits = find_contained(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), items, threshold, "__key", "__text", **columns)
+    gone = stored(hits.select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    # the input may have columns of these names
+    kept = docs.select(F.struct("*").alias("__row"), key.alias("__key"))
+    return kept.join(_small(gone, gone.count(), 16), F.col("__key") == F.col("__gone"), "left_anti").select("__row.*")

@@ -1,11 +1,14 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles, with DataFrame functions only.
 
 A fingerprint holds every distinct shingle hash below a fixed fraction of the hash range (the least hash where none is
-below), in order. So it grows with the text, sketches of parts merge to the sketch of the whole, and the share of one
-sketch found in another estimates containment however unequal the documents are.
+below), in order. So it grows with the text, and the share of one sketch found in another estimates containment however
+unequal the documents are. merged() makes of two sketches exactly the sketch of both sets of shingles: a least hash that
+stands in for an empty sketch goes as soon as the other one has a hash below the fraction.
 
 Equal texts have equal fingerprints. A null or empty text, or one without a word, has the empty fingerprint; two empty
-ones have likeness 1, an empty and another one 0. Rows with equal ids are ordered by their texts.
+ones have likeness 1, an empty and another one 0. Rows with equal ids are ordered by their texts, rows without an id come
+last; repeated rows are fingerprinted each. Ids can be any 64-bit integers. An empty table gives an empty result; columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from .native import BITS, WIDTH, shingled
 
 #: One shingle in so many is kept.
 SCALE = 4
-#: Documents that are put in order together.
-TOGETHER = 1024
+#: Documents that are put in order together, about, and the most ranges of them.
+TOGETHER, RANGES = 1024, 4096
 
 
 def sketched(df: DataFrame, text: str, out: str, scale: int = SCALE, width: int = WIDTH) -> DataFrame:
@@ -47,26 +50,44 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def with_next(rows: DataFrame, prepare, values: list[str], ids: str = "doc_id", ties: str = "text", prefix: str = "next_", together: int = TOGETHER) -> DataFrame:
+def merged(a: str | Column, b: str | Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles of both sketches' texts."""
+    both = F.array_sort(F.array_distinct(F.concat(a, b)))
+    low = F.filter(both, lambda h: h < F.lit((1 << BITS) // scale))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, F.lit(1), F.least(F.size(both), F.lit(1))))
+
+
+def merge_sketches(df: DataFrame, by: list[str], sketch: str = "sketch", scale: int = SCALE) -> DataFrame:
+    """One merged sketch for each key; hashes are made distinct before they are gathered, so that a group costs what its sketch holds."""
+    keys = df.select(*by).distinct()
+    each = df.select(*by, F.explode(sketch).alias("h")).distinct()
+    whole = each.groupBy(*by).agg(F.collect_list("h").alias("__all"))
+    out = keys.alias("k").join(whole.alias("w"), [F.col(f"k.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by], "left")
+    none = F.array().cast("array<bigint>")
+    return out.select(*[F.col(f"k.{c}") for c in by], merged(F.coalesce("__all", none), none, scale).alias(sketch))
+
+
+def with_next(rows: DataFrame, prepare, values: list[str], ids: str = "doc_id", ties: str = "text", prefix: str = "next_", together: int = TOGETHER, most: int = RANGES) -> DataFrame:
     """prepare(rows), each row with the `values` (never null) of the row after it in descending order of ids (then of `ties`); the last has the first's.
 
-    Rows are put in order within ranges of about `together` ids, so that no task orders the table. Only the first row of
-    a range travels to the range before it. Ranges are put in order in the same way, by ranges of ranges; what one task
-    orders at the top is a row for every together**2 ids.
+    Rows are put in order within ranges of ids that hold about as many rows each (about `together`, in at most `most`
+    ranges), whatever the ids; their bounds are quantiles. Only the first row of a range travels to the range before it.
     """
-    span = rows.agg(F.min(ids).alias("low"), F.max(ids).alias("high"), F.count(ids).alias("n")).first()
-    low, high, n = span["low"] or 0, span["high"] or 0, span["n"] or 1
-    wide = max(1, (high - low + 1) * together // n)
-    range_of = F.coalesce(F.floor((F.col(ids) - F.lit(low)) / F.lit(wide)).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumn("__range", range_of)
-
-    first = rows.groupBy("__range").agg(F.max(ids).alias("__id")).withColumn("__over", F.floor(F.col("__range") / F.lit(together)))
-    first = first.withColumn("__after", F.lead("__range").over(Window.partitionBy("__over").orderBy(F.col("__range").desc())))
-    tops = first.groupBy("__over").agg(F.max("__range").alias("__top"))
-    tops = tops.withColumn("__below", F.lead("__top").over(Window.orderBy(F.col("__over").desc()))).select("__over", "__below")
-    highest = F.lit((high - low) // wide if span["n"] else -1)
-    after = first.join(tops, "__over").select("__range", F.coalesce("__after", "__below", highest).alias("__after"))
-    heads = rows.join(first.select(F.col("__range").alias("__of"), "__id"), F.col(ids).eqNullSafe(F.col("__id")))
+    n = rows.count()
+    parts = max(1, min(most, n // together))
+    cuts = rows.agg(F.percentile_approx(ids, [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("x")).first()["x"] if parts > 1 else []
+    cuts = sorted(set(cuts or []))
+    # binary search by falling powers of two: the number of bounds at or below an id
+    bounds, powers = F.lit(cuts) if cuts else F.array().cast("array<bigint>"), [1 << k for k in range(len(cuts).bit_length())][::-1]
+    range_of = F.lit(0)
+    if cuts:
+        range_of = F.aggregate(F.lit(powers), F.lit(0), lambda a, p: a + F.when(F.get(bounds, a + p - 1) <= F.col(ids), p).otherwise(0))
+    rows = rows.withColumn("__range", F.when(F.col(ids).isNull(), F.lit(-1)).otherwise(range_of))
+
+    first = rows.groupBy("__range").agg(F.max(ids).alias("__id"))
+    order = Window.orderBy(F.col("__range").desc())  # of at most `most` + 1 rows
+    after = first.select("__range", F.coalesce(F.lead("__range").over(order), F.max("__range").over(Window.partitionBy())).alias("__after"))
+    heads = rows.join(F.broadcast(first.select(F.col("__range").alias("__of"), "__id")), (F.col("__range") == F.col("__of")) & F.col(ids).eqNullSafe(F.col("__id")))
     heads = prepare(heads).groupBy(F.col("__range").alias("__after")).agg(F.min_by(F.struct(*values), F.col(ties)).alias("__head"))
     heads = after.join(heads, "__after").select("__range", "__head")
 

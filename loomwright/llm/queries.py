@@ -24,7 +24,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.compare_with_edited(_table(spark, sf_dir, "documents"))
     near, spelled = fingerprints.likeness, fingerprints.spelled
-    return rows.select("doc_id", "n_chars", "edited_sha256", spelled("sketch").alias("fingerprint"), spelled("edited").alias("edited_fingerprint"), near("sketch", "edited").alias("near_edited"), near("sketch", "next_sketch").alias("near_next"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", spelled("sketch").alias("fingerprint"), spelled("edited").alias("edited_fingerprint"), near("sketch", "edited").alias("near_edited"), near("sketch", "next_sketch").alias("near_next"), fingerprints.containment("sketch", "edited").alias("kept_in_edited"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

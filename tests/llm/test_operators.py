@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomwright.llm import bpe, chat, decontaminate, fingerprints, language, near_duplicates, quality, secrets, token_counts  # noqa: E402
-from loomwright.llm.common import held_out, unpacked, unpacked_sorted  # noqa: E402
+from loomwright.llm import bpe, chat, decontaminate, fingerprints, language, native, near_duplicates, quality, secrets, token_counts  # noqa: E402
+from loomwright.llm.common import held_out, texts, unpacked, unpacked_sorted  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, n_tokens string, score string, sketch string"
 WORDS = [a + b + c for a in ("th", "er", "on", "st", "re") for b in ("a", "e", "ou", "i") for c in ("nd", "r", "sh", "")]
@@ -89,6 +90,37 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compare_with_edited(empty).count() == 0
 
 
+def plain_sketch(hashes):
+    """The sketch of a set of hashes, by sets alone."""
+    low = sorted(h for h in set(hashes) if h < (1 << 63) // fingerprints.SCALE)
+    return low or sorted(set(hashes))[:1]
+
+
+def test_sketches_by_sets(spark, docs):
+    every = native.shingled(texts(docs), "text", "hashes").select("doc_id", "text", "hashes")
+    every = fingerprints.sketched(every, "text", "sketch").collect()
+    assert all(r.sketch == plain_sketch(r.hashes) and len(set(r.hashes)) == len(shingle_set(r.text)) for r in every)
+    of = {r.doc_id: r for r in every}
+    pairs = spark.createDataFrame([(a, b, of[a].sketch, of[b].sketch) for a in (0, 3, 39, 46, 48, 49) for b in (1, 3, 40, 46, 49, 52)], "a long, b long, x array<bigint>, y array<bigint>")
+    for r in pairs.select("a", "b", "x", "y", fingerprints.merged("x", "y").alias("both"), fingerprints.likeness("x", "y").alias("near"), fingerprints.containment("x", "y").alias("within")).collect():
+        x, y = set(r.x), set(r.y)
+        assert r.both == plain_sketch(of[r.a].hashes + of[r.b].hashes)
+        assert r.near == (len(x & y) / len(x | y) if x | y else 1) and r.within == (len(x & y) / len(x) if x else 1)
+    groups = spark.createDataFrame([(r.doc_id % 5 or None, r.sketch) for r in every], "g long, sketch array<bigint>")
+    got = {r.g: r.sketch for r in fingerprints.merge_sketches(groups, ["g"]).collect()}
+    assert got == {g: plain_sketch([h for r in every if (r.doc_id % 5 or None) == g for h in r.hashes]) for g in (None, 1, 2, 3, 4)}
+
+
+def test_any_ids_have_a_next_document(spark):
+    rng = random.Random(4)
+    ids = [0, 2**62, -(2**62) - 5, 2**63 - 1, -(2**63), None, 7, 7, *(rng.randrange(50_000) for _ in range(2000)), *([9] * 500)]
+    table = spark.createDataFrame([(x, f"t{i % 1700}") for i, x in enumerate(ids)], "doc_id long, text string").repartition(6)
+    got = fingerprints.with_next(table, lambda df: df, ["text"], together=50).collect()
+    order = sorted(((x, f"t{i % 1700}") for i, x in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == Counter((x, t, n) for (x, t), (_, n) in zip(order, order[1:] + order[:1]))
+    assert fingerprints.compare_with_edited(spark.createDataFrame([(0, "a b"), (2**62, "c")], "doc_id long, text string")).count() == 2
+
+
 def test_chat(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "a\\<|end|>\n", "<|turn|>user\nx<|end|>\n", "", None, "é<s>😀", "[/INST", "x" * 9000]
     turns = [(c, t, random.Random(c * 9 + t).choice(["user", "assistant", "system", "to\nol\\", None]), odd[(c + t) % len(odd)]) for c in range(6) for t in range(7)]
@@ -297,6 +329,42 @@ def test_language(spark, empty, docs):
     assert language.identify(empty, model).count() == 0 and language.identify(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_language(counts, text):
+    """Scores of a text by the words-first rule, with dictionaries of words and of n-grams."""
+    langs = sorted(counts)
+    total = sum(c.total() for c in counts.values())
+    every = set().union(*counts.values())
+    logs = lambda table, key, size: np.log([(table[k][key] + 0.5) / (table[k].total() + 0.5 * (size + 1)) for k in langs])
+    levels = {}
+    for n in range(1, language.LONGEST + 1):
+        cut = lambda w, n=n: [m[i : i + n] for m in [f"<{w}>" if n > 1 else w] for i in range(len(m) - n + 1)]
+        levels[n] = cut, {k: Counter(g for w, c in counts[k].items() for g in cut(w) for _ in range(c)) for k in langs}
+    score = np.log([(counts[k].total() + 1) / (total + len(langs)) for k in langs])
+    for w in language._WORD.findall(text.lower()):
+        if w in every:
+            score = score + logs(counts, w, len(every))
+            continue
+        for n in range(language.LONGEST, 0, -1):
+            cut, table = levels[n]
+            known = set().union(*table.values())
+            if own := [g for g in cut(w) if g in known]:
+                score = score + np.mean([logs(table, g, len(known)) for g in own], axis=0)
+                break
+    p = np.exp(score - score.max())
+    return langs[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_by_dictionaries():
+    counts = {"en": Counter("the house the ring walked once".split()), "fr": Counter("le maison était une école le le".split()), "de": Counter("der hund lief".split())}
+    model, rng = language.Model(counts), random.Random(2)
+    words = [*(w for c in counts.values() for w in c), "walking", "écolier", "hunde", "zzz", "ça", "日本", "once"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    lang, score = model.predict(texts)
+    want = [plain_language(counts, t) for t in texts]
+    assert lang == [w[0] for w in want] and score == pytest.approx([w[1] for w in want], rel=1e-3)
+    assert model.predict(["½ ²", "Ⅷ", "12 !", "", None]) == (["und"] * 5, [0.0] * 5)
+
+
 def test_secrets(spark, docs, empty):
     model = secrets.fit(secrets.labelled_findings(spark, 1500))
     key, hexed = "AKIA" + "QZ7K2M9PLX4T8WVB", "0ab3f9c2d4e8b7a6c5d4e3f2a1b0c9d8e7f6a5b4"
@@ -311,6 +379,49 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty, model).count() == 0 and secrets.find_secrets(docs, model).count() == 0
 
 
+def test_secrets_go_by_the_row(spark):
+    model, key = secrets.fit(secrets.labelled_findings(spark, 1500)), "AKIA" + "QZ7K2M9PLX4T8WVB"
+    plain = "no secret in this one, but as long as the others are"
+    texts = [(None, f"first {key} of all"), (5, f"and then {key} end"), (5, plain), (5, plain), (None, None), (6, f"{key} {key}"), (6, f"{key} {key}")]
+    table = spark.createDataFrame([(i, t, "src", "x", 1) for i, t in texts], "doc_id long, text string, source string, __spans string, h1 int").repartition(4)
+    clean = secrets.redact(table, secrets.find_secrets(table, model))
+    assert clean.columns == table.columns
+    want = [(i, t and t.replace(key, "[SECRET]")) for i, t in texts]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(str, want))
+    assert secrets.redact(table.limit(0), secrets.find_secrets(table.limit(0), model)).count() == 0
+
+
+def plain_features(candidate, left, right, path):
+    """The features that can be said in a few words, by Python's own means."""
+    n, near = max(len(candidate), 1), f"{left} {right}"
+    kind = lambda c: "d" if c.isdigit() else "a" if c.isalpha() else "o"
+    pairs = secrets.letter_pairs()
+    return {
+        "length": len(candidate), "digits": sum(c in "0123456789" for c in candidate) / n, "uppers": sum("A" <= c <= "Z" for c in candidate) / n,
+        "distinct": len(set(candidate)) / n, "likely": sum(pairs.get(candidate[i : i + 2].lower(), pairs[""]) for i in range(len(candidate) - 1)[:256]) / max(1, min(256, len(candidate) - 1)),
+        "dictionary": 1 - len(re.sub(secrets.DICTIONARY, "", candidate.lower())) / n, "hex": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", candidate))),
+        "near_hash": float(bool(re.search(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|uuid|etag|integrity)\b", near))), "trusted_path": float(bool(re.search(secrets.TRUSTED_PATH, path, re.I))), "classes": len(set(map(kind, candidate))),
+    }
+
+
+def test_features_and_candidates_by_plain_means(spark):
+    found = secrets.labelled_findings(spark, 400)
+    for r in secrets.described(found).collect():
+        want = plain_features(r.candidate, r.left_context, r.right_context, r.path)
+        want.pop("classes")
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    rng, parts = random.Random(3), ["token = ", "password:", "AKIA" + "Q7" * 8, "ghp_" + "a1B2" * 9, "plain words", "0123456789abcdef" * 2, "\n", "x" * 30, "é", " ", "'", '"', "xoxb-1234567890ab", "a/b/c_d-e1" * 3]
+    texts = ["".join(rng.choice(parts) for _ in range(12)) for _ in range(60)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    value = re.compile(rf"(?i:{secrets.NAMES})[\"']?\s?[:=]{{1,2}}\s?[\"']?({secrets.VALUE})", re.A)
+    want = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(secrets.PATTERN, t, re.A):
+            own = None if re.fullmatch(secrets.FORMATS, m[0], re.A) else value.fullmatch(m[0])
+            want.append((i, m.start() + (own.start(1) if own else 0), own[1] if own else m[0]))
+    assert sorted((r.doc_id, r.start, r.candidate) for r in secrets.candidates(table).collect()) == sorted(want) and len(want) > 100
+
+
 def test_long_secrets_are_found_whole(spark):
     model, rng = secrets.fit(secrets.labelled_findings(spark, 1500)), random.Random(11)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
@@ -348,3 +459,35 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == {*range(60), 64} and key not in got[64].decoded and "[SECRET]" in got[64].decoded and got[5].decoded == base[5]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    base, key = [prose(8000 + i, 120) for i in range(8)], "AKIA" + "QZ7K2M9PLX4T8WVB"
+    rows = [(0, base[0]), (0, base[0]), (7, base[0]), (7, base[1]), (None, base[2]), (None, base[2]), (None, f"{base[3]} {key}"), (9, f"{base[3]} {key}"), (11, base[4] + " " + prose(42, 30)), (None, base[5] + " " + prose(42, 30)), (12, None), (13, ""), (14, base[6] + " " + prose(12, 9000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __gone string, key string")
+    spark.createDataFrame([(0, prose(42, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    want = [(0, base[0]), (7, base[1]), (None, base[2]), (9, f"{base[3]} [SECRET]"), (12, None), (14, rows[-1][1])]
+    assert sum(not t for _, t in got) == 1  # null and empty texts are copies of each other
+    assert sorted(map(str, (r for r in got if r[1]))) == sorted(map(str, (r for r in want if r[1])))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_group_that_holds_a_third_of_all_rows(spark):
+    rng, base, texts = random.Random(21), prose(9500, 200).split(), []
+    for k in range(60):  # copies of one text with a word or two changed: similarity to it 0.9 and more
+        own = list(base)
+        for at in rng.sample(range(200), 2):
+            own[at] = f"e{k}x{at}"
+        texts.append(" ".join(own))
+    texts += [" ".join(random.Random(9600 + k).choice(WORDS) + str(k) for _ in range(200)) for k in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(table).collect()}
+    assert {got[k] for k in range(60)} == {0} and all(got[k] == k for k in range(60, 180))
