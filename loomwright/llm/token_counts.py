@@ -1,10 +1,10 @@
 """Token counts without token ids of any text: each distinct pre-token is counted once, joined to each text's pre-token frequencies and summed.
 
 1. Texts are read once, in chunks. A chunk keeps each text's frequencies of the chunk's distinct pre-tokens, packed, and
-   a list of these pre-tokens.
-2. The distinct pre-tokens of all chunks are the rows of one table; the model counts the pieces of each, once.
-3. A join on the pre-token brings the counts to the chunks, where they are summed by frequency. A pre-token that most
-   texts hold is one row for each chunk in that join, not one for each text.
+   sends these pre-tokens to buckets by their hash.
+2. A bucket tells its pre-tokens apart by their whole strings, and the model counts the pieces of each one, once.
+3. The counts go back to the chunks that sent the pre-token, which sum them by frequency. That is a join on the
+   pre-token, of packed columns: one that most texts hold is one entry for each chunk, not one for each text.
 
 For a byte-pair model with byte fallback, whose pieces hold a space only at their start, no merge reaches over the
 beginning of a run of spaces or over a line break; a text is the sum of such pre-tokens. load() checks that.
@@ -26,13 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bundle, gathered, lean, slices, stored, texts, unbundle
+from .common import bucket_edges, bundle, flat, gathered, lean, parts_for, ragged, stored, text_bytes, texts, unbundle, words
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 _PRETOKEN = re.compile(r" *[^ \n]+|\n| +")
 #: Bytes of text of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+KEPT, SENT, ANSWER = range(3)
+ROW = "kind int, bucket long, chunk long, blob binary"
+_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
+_WHOLE = np.zeros(256, bool)  # no byte separates words
 
 
 @lru_cache(maxsize=2)
@@ -73,36 +77,64 @@ def frequencies(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndar
     return list(known), codes // max(len(known), 1), codes % max(len(known), 1), n
 
 
-def _chunks(batches):
-    part = TaskContext.get().partitionId()
-    for nth, docs in enumerate(gathered(batches, CHUNK_BYTES)):
-        words, row, word, n = frequencies(docs["text"])
-        ids, none = docs["doc_id"].fill_null(0).to_numpy(), docs["doc_id"].is_null().to_numpy()
-        size = pc.binary_length(docs["text"]).to_numpy().astype(np.int64)
-        blob = bundle(ids, none.astype(np.uint8), size, np.bincount(row, minlength=len(ids)), word.astype(np.int32), n.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([part << 24 | nth]), pa.array([blob], pa.binary()), pa.array([words], pa.list_(pa.string()))], names=["chunk", "texts", "words"])
-
-
-def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROW)], schema=_ROW)
+
+
+def _chunks(most: int, buckets: int):
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for nth, docs in enumerate(gathered(batches, most)):
+            distinct, row, word, n = frequencies(docs["text"])
+            chunk, (body, offsets) = part << 24 | nth, flat(pa.array(distinct, pa.large_string()))
+            order = np.argsort(hashes := words(body, offsets, _WHOLE)[1], kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            ids, none = docs["doc_id"].fill_null(0).to_numpy(), docs["doc_id"].is_null().to_numpy()
+            size = pc.binary_length(docs["text"]).to_numpy().astype(np.int64)
+            rows = [(KEPT, chunk, chunk, bundle(ids, none.astype(np.uint8), size, np.bincount(row, minlength=len(ids)), place[word], n.astype(np.int32)))]
+            edges = bucket_edges(hashes[order], buckets)
+            for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if hi > lo:
+                    own = order[lo:hi]
+                    length = offsets[own + 1] - offsets[own]
+                    rows.append((SENT, b, chunk, bundle(length.astype(np.int32), body[ragged(offsets[own], length)])))
+            yield from _rows(rows).to_batches()
+
+    return run
+
+
+def _counted(path: str):
+    def run(table: pa.Table) -> pa.Table:
+        got = [(r["chunk"], *unbundle(r["blob"], np.int32, np.uint8)) for r in table.select(["chunk", "blob"]).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n, _ in got]), dtype=np.int64)])
+        body = np.concatenate([x for *_, x in got])
+        every = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        n = count_pieces(every.dictionary.to_pylist(), path)[every.indices.to_numpy()]
+        bucket, rows, at = table["bucket"][0].as_py(), [], 0
+        for chunk, length, _ in got:
+            rows.append((ANSWER, bucket, chunk, bundle(n[at : at + len(length)])))
+            at += len(length)
+        return _rows(rows)
+
+    return run
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, least: int = 24) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text for the sentencepiece model at path."""
 
-    def counted(batches):
-        for batch in batches:
-            for part in slices(batch, "word"):
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(count_pieces(part.column("word").to_pylist(), path))], names=["word", "n"])
-
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, none, size, own, word, times = unbundle(left["texts"][0].as_py(), np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
-        n = np.zeros(right.num_rows, np.int64)
-        n[right["nth"].to_numpy()] = right["n"].to_numpy()
+        ids, none, size, own, word, times = unbundle(left["blob"][0].as_py(), np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
+        got = sorted(right.select(["bucket", "blob"]).to_pylist(), key=lambda r: r["bucket"])
+        n = np.concatenate([np.zeros(0, np.int32), *(unbundle(r["blob"], np.int32)[0] for r in got)])
         ends = np.cumsum(own)
-        sums = np.concatenate([[0], np.cumsum(n[word] * times)])
+        sums = np.concatenate([[0], np.cumsum(n[word].astype(np.int64) * times)])
         total = sums[ends] - sums[ends - own]
         return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(size), pa.array(total, pa.int64()), pa.array(total > limit)], schema=_ARROW)
 
     rows = texts(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = stored(rows.mapInArrow(_chunks, "chunk long, texts binary, words array<string>"), "pretokens")
-    each = chunks.select(F.col("chunk").alias("to"), F.posexplode("words").alias("nth", "word"))
-    counts = stored(each.select("word").distinct().mapInArrow(counted, "word string, n int"), "pieces")
-    answers = each.join(counts, "word").select("to", "nth", "n")
-    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(lean(summed), SCHEMA)
+    size = text_bytes(rows)
+    buckets = parts_for(size, chunk_bytes, least)
+    sent = stored(rows.mapInArrow(_chunks(max(chunk_bytes, size // buckets), buckets), ROW), "pretokens", "kind")
+    answers = sent.where(F.col("kind") == SENT).groupBy("bucket").applyInArrow(lean(_counted(path)), ROW)
+    return sent.where(F.col("kind") == KEPT).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(summed), SCHEMA)
