@@ -19,7 +19,7 @@ def aggregate(df: DataFrame, by: list[str], columns: list[str], method: str = "m
     if method == "robust_mean":
         return robust_mean(df, by, columns)
     how = {"mean": F.avg, "median": F.median}[method]
-    return df.groupBy(*by).agg(*[how(c).alias(c) for c in columns])
+    return df.groupBy(*by).agg(*[how(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def vote(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -42,6 +42,17 @@ def robust_mean(df: DataFrame, by: list[str], columns: list[str], within: float
     return both.groupBy(*by).agg(*[F.avg(kept(c)).alias(c) for c in columns])
 
 
+def without_outliers(df: DataFrame, by: list[str], columns: list[str], threshold: float = 0.95) -> DataFrame:
+    """The rows whose every value lies within the central `threshold` share of its key's values (by quantiles; ties stay)."""
+    low, high = (1 - threshold) / 2, (1 + threshold) / 2
+    bounds = df.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`"), F.lit(x)).alias(f"__{k}_{i}") for i, c in enumerate(columns) for k, x in (("low", low), ("high", high))])
+    inside = [F.col(f"`{c}`").isNull() | F.col(f"`{c}`").between(F.col(f"__low_{i}"), F.col(f"__high_{i}")) for i, c in enumerate(columns)]
+    rows = df.join(bounds, by)
+    for x in inside:
+        rows = rows.where(x)
+    return rows.drop(*bounds.columns[len(by) :])
+
+
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n_unique (missing counts), n_missing, uniqueness: one pass for all columns."""
     n = F.count("*")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..sources import readers
-from .partitions import PARTITION
+from .partitions import MOST_FOLDS, PARTITION
 from .position import POS, with_position
 
 SCHEMA = "fold int, side string, pos long"
@@ -48,7 +48,7 @@ def _in_every_fold(pos: DataFrame, numbers: list[int]) -> DataFrame:
 
 def from_columns(df: DataFrame) -> DataFrame:
     """Each column lists the positions one fold trains on; it validates on all that other columns list."""
-    named = _integers(df, df.columns)
+    named = _integers(df, [c for c in df.columns if c != POS])
     cells = F.array(*[F.struct(F.lit(i).alias("fold"), F.col(f"`{c}`").alias("pos")) for i, c in enumerate(named.columns)])
     train = named.select(F.inline(cells)).where("pos is not null")
     every = _in_every_fold(train.select("pos").distinct(), list(range(len(named.columns))))
@@ -58,14 +58,17 @@ def from_columns(df: DataFrame) -> DataFrame:
 
 def from_assignments(df: DataFrame) -> DataFrame:
     """Each row names the fold that validates on it (column fold); all other folds train on it. Rows without a name count from 0."""
-    named = {c.lower(): c for c in df.columns}
+    named = {c.lower(): c for c in df.columns if c != POS}
     at = next((named[c] for c in ROW_NAMES if c in named), None)
     if at is None:
-        df, at = with_position(df.withColumn("__nth", F.monotonically_increasing_id()), "__nth"), POS
+        at = POS  # the row's place in the file
     own = _integers(df, [named["fold"], at]).toDF("label", "pos")
-    labels = sorted(r[0] for r in own.select("label").distinct().collect())
-    if None in labels:
+    found = [r[0] for r in own.select("label").distinct().limit(MOST_FOLDS + 2).collect()]
+    if None in found:
         raise SpecError("a row of the folds has no fold")
+    if len(found) > MOST_FOLDS:
+        raise SpecError(f"there are more than {MOST_FOLDS} folds")
+    labels = sorted(found)
     numbers = F.array_position(F.lit(labels).cast("array<bigint>"), F.col("label")).cast("int") - 1
     val = own.select("pos", numbers.alias("fold"))
     train = _in_every_fold(own.select("pos").distinct(), list(range(len(labels)))).join(val, ["pos", "fold"], "left_anti")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import JoinError
-from .position import POS, with_position
+from ..functions.numeric import exact_in_double
+from .position import POS, stacked_positions
 
 CARDINALITIES, COVERAGES = ("1:1", "m:1", "1:m"), ("complete", "warn", "drop", "error")
 SHOWN = 10
@@ -61,70 +62,113 @@ def _keyed(df: DataFrame, on: list[str], other: DataFrame, other_on: list[str])
     return df.withColumns({n: canonical_key(a, df.schema[a].dataType, other.schema[b].dataType) for n, a, b in zip(_names(on), on, other_on, strict=True)})
 
 
+def key_summary(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> DataFrame:
+    """One row for each key of either side: how many rows it has there (n_left, n_right), the key as the left has it, and its first left position."""
+    names = _names(left_on)
+    first = F.min(POS) if POS in left.columns else F.lit(None).cast("long")
+    own = F.first(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(left_on)]))
+    other = F.first(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(right_on)]))
+    a = _keyed(left, left_on, right, right_on).groupBy(*names).agg(F.count("*").alias("n_left"), first.alias("at"), own.alias("key"))
+    b = _keyed(right, right_on, left, left_on).groupBy(*names).agg(F.count("*").alias("n_right"), other.alias("right_key"))
+    return a.join(b, names, "full_outer")
+
+
 def contract_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str] | None = None, cardinality: str = "1:1", coverage: str = "complete", right_name: str = "right", check: bool = True) -> tuple[DataFrame, Audit]:
     """left with right's payload. The left key stays, the right one goes; a payload name that left has too becomes `name__right_name`.
 
     1:1 refuses repeated keys on both sides, m:1 on the right, 1:m on the left. coverage: complete and error refuse left
-    keys without a match (naming ten, or the first), warn keeps their rows, drop drops them. One aggregate for each side
-    and one anti join check this; no side is broadcast but by Spark's own choice from its size.
+    keys without a match (naming ten, or the first by position), warn keeps their rows, drop drops them. All of this is
+    one aggregate over the keys' summary, in which either side is grouped by key once; no side is broadcast but by
+    Spark's own choice from its size.
     """
     right_on = right_on or left_on
     if cardinality not in CARDINALITIES or coverage not in COVERAGES:
         raise JoinError(f"unknown contract {cardinality} {coverage}")
-    if len(left_on) != len(right_on):
+    if not left_on or len(left_on) != len(right_on):
         raise JoinError(f"{len(left_on)} key columns on the left, {len(right_on)} on the right")
+    for side, df, keys in (("left", left, left_on), ("right", right, right_on)):
+        if absent := [k for k in keys if k not in df.columns]:
+            raise JoinError(f"the {side} side has no column {absent[0]!r}")
     payload = [c for c in right.columns if c not in right_on]
     renamed = {c: f"{c}__{right_name}" for c in payload if c in left.columns}
     if clash := [n for n in renamed.values() if n in left.columns or n in payload]:
         raise JoinError(f"the name {clash[0]} is taken")
     audit = Audit(f"join {cardinality} {coverage}")
     if check:
-        for side, df, keys, bad in (("left", left, left_on, ("1:1", "1:m")), ("right", right, right_on, ("1:1", "m:1"))):
-            if cardinality in bad and (found := duplicate_keys(df, keys).limit(1).collect()):
-                raise JoinError(f"{side} key {tuple(found[0][k] for k in keys)} is on {found[0]['n_rows']} rows; {cardinality} allows one")
-        missing = unmatched_keys(left, right, left_on, right_on)
-        if coverage == "error" and POS in left.columns:
-            first = _keyed(left, left_on, right, right_on).join(_keyed(right, right_on, left, left_on), _names(left_on), "left_anti").orderBy(POS).limit(1).collect()
-        else:
-            first = missing.limit(SHOWN + 1).collect() if coverage != "drop" else []
-        audit.examples = [tuple(r[k] for k in left_on) for r in first[:SHOWN]]
-        if first and coverage in ("complete", "error"):
-            raise JoinError(f"no right row for the left key {audit.examples[0]}" if coverage == "error" else f"{missing.count()} left keys have no right row: {audit.examples}")
-        if coverage in ("warn", "drop"):
-            audit.unmatched = missing.count()
-            if audit.unmatched and coverage == "warn":
-                audit.warnings.append(f"{audit.unmatched} left keys have no right row")
-    side = _keyed(right, right_on, left, left_on).select(*_names(right_on), *[F.col(c).alias(renamed.get(c, c)) for c in payload])
+        keys = key_summary(left, right, left_on, right_on)
+        twice = lambda side, key: F.max(F.when(F.col(side) > 1, F.struct(F.col(side), F.col(key).cast("string").alias("key"))))
+        gap = F.col("n_right").isNull()
+        row = keys.agg(F.sum("n_left").alias("l"), F.sum("n_right").alias("r"), twice("n_left", "key").alias("l2"), twice("n_right", "right_key").alias("r2"), F.count_if(gap).alias("gaps"), F.min_by("key", F.when(gap, F.coalesce("at", F.lit(0)))).alias("first")).first()
+        audit.left_rows, audit.right_rows = row["l"] or 0, row["r"] or 0
+        for side, found, bad in (("left", row["l2"], ("1:1", "1:m")), ("right", row["r2"], ("1:1", "m:1"))):
+            if cardinality in bad and found is not None:
+                raise JoinError(f"{side} key {found['key']} is on {found[0]} rows; {cardinality} allows one")
+        if row["gaps"]:
+            shown = [row["first"]] if coverage == "error" else [r["key"] for r in keys.where(gap).orderBy("at").limit(SHOWN).select("key").collect()]
+            audit.unmatched, audit.examples = row["gaps"], [tuple(x) for x in shown]
+            if coverage in ("complete", "error"):
+                raise JoinError(f"no right row for the left key {audit.examples[0]}" if coverage == "error" else f"{row['gaps']} left keys have no right row: {audit.examples}")
+            if coverage == "warn":
+                audit.warnings.append(f"{row['gaps']} left keys have no right row")
+    side = _keyed(right, right_on, left, left_on).select(*_names(right_on), *[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in payload])
     how = "inner" if coverage == "drop" else "left"
     return _keyed(left, left_on, right, right_on).join(side, _names(left_on), how).drop(*_names(left_on)), audit
 
 
 def row_order_join(left: DataFrame, right: DataFrame, right_name: str = "right") -> DataFrame:
-    """Rows of equal position side by side; both need positions, and as many rows."""
+    """Rows of equal position side by side; both need positions, and as many rows. A name that left has too becomes `right_name__name`."""
+    if bad := [n for n, df in (("left", left), ("right", right)) if POS not in df.columns]:
+        raise JoinError(f"the {bad[0]} side's rows have no order: read them from a file, or name a key")
     if left.count() != right.count():
         raise JoinError("row order needs as many rows on both sides")
     clash = {c: f"{right_name}__{c}" for c in right.columns if c in left.columns and c != POS}
+    if taken := [n for n in clash.values() if n in left.columns or n in right.columns]:
+        raise JoinError(f"the name {taken[0]} is taken")
     return left.join(right.withColumnsRenamed(clash), POS)
 
 
 def merge_by_key(frames: list[DataFrame], keys: list[str], names: list[str] | None = None, coverage: str = "complete") -> DataFrame:
     """One-to-one joins from left to right."""
     names = names or [f"f{i}" for i in range(len(frames))]
-    return reduce(lambda a, x: contract_join(a, x[0], keys, cardinality="1:1", coverage=coverage, right_name=x[1])[0], zip(frames[1:], names[1:], strict=True), frames[0])
+    return reduce(lambda a, x: contract_join(a, x[0].drop(POS), keys, cardinality="1:1", coverage=coverage, right_name=x[1])[0], zip(frames[1:], names[1:], strict=True), frames[0])
+
+
+def common_types(frames: list[DataFrame]) -> list[DataFrame]:
+    """Frames whose columns of equal names have one type: text if any is text, double if integers and doubles meet (exactly, or refused)."""
+    kinds: dict[str, set[str]] = {}
+    for df in frames:
+        for name, kind in df.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    whole, real = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
+    to = {}
+    for name, found in kinds.items():
+        if len(found) > 1:
+            to[name] = "bigint" if found <= whole else "double" if found <= whole | real else "string"
+    out = []
+    for df in frames:
+        own = dict(df.dtypes)
+        cast = {n: k for n, k in to.items() if n in own and own[n] != k}
+        if inexact := [n for n, k in cast.items() if k == "double" and own[n] == "bigint"]:
+            bad = df.agg(*[F.count_if(~exact_in_double(F.col(f"`{n}`"))).alias(n) for n in inexact]).first()
+            if odd := [n for n in inexact if bad[n]]:
+                raise JoinError(f"{odd[0]} has integers that no double holds, and doubles in another input")
+        out.append(df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in cast.items()}) if cast else df)
+    return out
 
 
-def concat_samples(frames: dict[str, DataFrame], origin: str = "origin") -> DataFrame:
-    """All rows, all columns; cells of columns that a frame lacks are null; origin names the frame."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(origin, F.lit(n)) for n, df in frames.items()])
+def concat_samples(frames: dict[str, DataFrame], origin: str = "origin", warnings: list[str] | None = None) -> DataFrame:
+    """All rows, all columns; cells of columns that a frame lacks are null; origin names the frame. Positions, if all have them, follow each other."""
+    tables = common_types(list(frames.values()))
+    if all(POS in df.columns for df in tables):
+        tables = stacked_positions(tables)
+    if warnings is not None and len({frozenset(df.columns) for df in tables}) > 1:
+        warnings.append("the stacked inputs have different columns; missing ones are null")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(origin, F.lit(n)) for n, df in zip(frames, tables, strict=True)])
 
 
 def concat_features(frames: list[DataFrame], names: list[str]) -> DataFrame:
     """Columns side by side by row position; a repeated name becomes `frame__name`."""
-    return reduce(lambda a, x: row_order_join(a, x[0], x[1]), zip(frames[1:], names[1:], strict=True), with_all_positions(frames)[0] if POS not in frames[0].columns else frames[0])
-
-
-def with_all_positions(frames: list[DataFrame]) -> list[DataFrame]:
-    return [df if POS in df.columns else with_position(df, df.columns[0]) for df in frames]
+    return reduce(lambda a, x: row_order_join(a, x[0], x[1]), zip(frames[1:], names[1:], strict=True), frames[0])
 
 
 def align_cohort(cohort: DataFrame, source: DataFrame, id_col: str, strict: bool = False, present: str = "present") -> DataFrame:

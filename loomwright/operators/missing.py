@@ -19,7 +19,7 @@ def na_to_null(text: str | Column) -> Column:
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
-    c = F.col(name)
+    c = F.col(f"`{name}`")
     return (c.isNull() | F.isnan(c)) if df.schema[name].dataType.typeName() in ("double", "float") else c.isNull()
 
 
@@ -42,6 +42,25 @@ def abort(df: DataFrame, columns: list[str], pos: str) -> DataFrame:
     return df
 
 
+def abort_any(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df; a missing cell is an error, for rows that have no order."""
+    row = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in columns]).first()
+    if found := [c for c in columns if row[c]]:
+        raise DataError(f"{found[0]} is missing in {row[found[0]]} rows")
+    return df
+
+
+def na_summary(df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """detected, n_cells, n_rows, n_columns that miss something, and which rows they are (the first 20 ids)."""
+    by = {c: is_missing(df, c) for c in columns}
+    any_ = any_missing(df, columns)
+    cells = sum((F.count_if(x) for x in by.values()), F.lit(0))
+    wide = sum((F.max(x.cast("int")) for x in by.values()), F.lit(0))
+    small = df.agg(F.bool_or(any_).alias("detected"), cells.alias("n_cells"), F.count_if(any_).alias("n_rows"), wide.cast("long").alias("n_columns"))
+    first = df.where(any_).select(id_col).orderBy(id_col).limit(20).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+    return small.join(first, F.lit(True))  # one row each
+
+
 def remove_sample(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(~any_missing(df, columns))
 
@@ -58,12 +77,12 @@ def remove_feature(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fill_value(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
-    return df.withColumns({c: F.when(is_missing(df, c), F.lit(value)).otherwise(F.col(c)) for c in columns})
+    return df.withColumns({c: F.when(is_missing(df, c), F.lit(value)).otherwise(F.col(f"`{c}`")) for c in columns})
 
 
 def fill_across(df: DataFrame, columns: list[str], backward: bool = False) -> DataFrame:
     """Fill a missing cell from the columns before it in its row (or after it)."""
-    given = {c: F.when(~is_missing(df, c), F.col(c)) for c in columns}
+    given = {c: F.when(~is_missing(df, c), F.col(f"`{c}`")) for c in columns}
     order = columns[::-1] if backward else columns
     return df.withColumns({c: F.coalesce(*[given[x] for x in order[: i + 1][::-1]]) for i, c in enumerate(order)})
 
@@ -73,5 +92,5 @@ def fill_statistic(df: DataFrame, columns: list[str], method: str, across_folds:
     if not across_folds:
         raise DataError(f"filling by {method} mixes folds; pass across_folds=True to do so")
     how = F.avg if method == "mean" else F.median
-    row = df.agg(*[how(F.when(~is_missing(df, c), F.col(c))).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.when(is_missing(df, c), F.lit(row[c])).otherwise(F.col(c)) for c in columns})
+    row = df.agg(*[how(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.when(is_missing(df, c), F.lit(row[c])).otherwise(F.col(f"`{c}`")) for c in columns})

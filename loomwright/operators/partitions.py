@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DataError, SpecError
+from .position import with_position
 
 PARTITION = "__partition"
+#: More folds than this are a mistake: each sends every row once more.
+MOST_FOLDS = 1000
 ORDER = ("train", "test", "val", "predict")
 
 
@@ -21,14 +27,47 @@ def check_lists(lists: dict[str, list]) -> None:
                 raise SpecError(f"{v!r} is in {seen[str(v).lower()]} and in {part}")
 
 
+def _number(value) -> float | int | None:
+    """The number that a declared value is or spells; booleans are none."""
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, (int, float)):
+        return value
+    if isinstance(value, str) and re.fullmatch(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?", value):
+        return int(value) if re.fullmatch(r"-?[0-9]+", value) else float(value)
+    return None
+
+
+def _equals(cell: Column, kind: T.DataType, values: list) -> Column:
+    if not isinstance(kind, T.NumericType):
+        return F.lower(cell.cast("string")).isin(*[str(v).lower() for v in values])
+    found = F.lit(False)
+    for v in values:
+        if (x := _number(v)) is None:
+            continue
+        if isinstance(kind, T.FloatType):  # the declaration is rounded once, as the cells were
+            x = F.lit(float(x)).cast("float")
+        same = cell == x
+        if not isinstance(kind, T.IntegralType) and _number(v) == 0:
+            same = same & (cell.cast("string").startswith("-") == F.lit(str(v).startswith("-")))
+        found = found | same
+    return F.coalesce(found, F.lit(False))
+
+
 def by_column(df: DataFrame, column: str, lists: dict[str, list], unknown: str = "error", out: str = PARTITION) -> DataFrame:
-    """The partition whose list has the row's value (as lower-case text). unknown: train, test, drop or error for all others, missing values among them."""
+    """The partition whose list has the row's value. unknown: train, test, drop or error for all others, missing values among them.
+
+    Text is compared as lower-case text. A number equals a declared number, or a text that spells one exactly; 0.0 and
+    -0.0 are two values.
+    """
     check_lists(lists)
-    value = F.lower(F.col(column).cast("string"))
+    if column not in df.columns:
+        raise SpecError(f"there is no column {column!r} to part by")
+    kind = df.schema[column].dataType
     part: Column = F.lit(None).cast("string")
     for name in reversed(ORDER):
         if lists.get(name):
-            part = F.when(value.isin(*[str(v).lower() for v in lists[name]]), name).otherwise(part)
+            part = F.when(_equals(F.col(f"`{column}`"), kind, lists[name]), name).otherwise(part)
     df = df.withColumn(out, part)
     if unknown in ("train", "test"):
         return df.withColumn(out, F.coalesce(out, F.lit(unknown)))
@@ -55,6 +94,8 @@ def folds_by_column(train: DataFrame, column: str, id_col: str) -> DataFrame:
     Every row goes into every fold, so the result has as many rows as that: folds are few, and only their numbers are sent around.
     """
     values = train.select(F.col(column).cast("string").alias("__v")).where("__v is not null").distinct()
+    if values.limit(MOST_FOLDS + 1).count() > MOST_FOLDS:
+        raise SpecError(f"{column} has more than {MOST_FOLDS} values, and each would be a fold")
     numbers = values.select("__v", (F.row_number().over(Window.orderBy("__v")) - 1).cast("int").alias("fold"))
     folds = numbers.agg(F.sort_array(F.collect_list(F.struct("fold", "__v"))).alias("__folds")).first()["__folds"]
     listed = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), F.lit(f["__v"]).alias("v")) for f in folds])
@@ -70,7 +111,7 @@ def folds_by_assignment(train: DataFrame, fold: Column, n_folds: int, id_col: st
 
 def fold_positions(df: DataFrame, pos: str, partition: str = PARTITION) -> DataFrame:
     """Training rows with their position among the training rows."""
-    return df.where(F.col(partition) == "train").withColumn("train_pos", (F.row_number().over(Window.orderBy(pos)) - 1).cast("long"))
+    return with_position(df.where(F.col(partition) == "train"), pos, out="train_pos")
 
 
 def leaking_groups(df: DataFrame, group: str, partition: str = PARTITION) -> DataFrame:

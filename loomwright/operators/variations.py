@@ -28,7 +28,11 @@ def with_variation(df: DataFrame, other: DataFrame, name: str, features: list[st
     if taken := [f for f in features if f"{name}__{f}" in df.columns]:
         raise SpecError(f"{name}__{taken[0]} is there already")
     named = matched(features, [c for c in other.columns if c != pos])
-    right = other.select(F.col(pos), *[F.col(f"`{c}`").alias(f"{name}__{f}") for f, c in named.items()])
+    kinds, own = dict(df.dtypes), dict(other.dtypes)
+    numbers = ("double", "bigint", "float", "int")
+    if odd := [f for f, c in named.items() if kinds[f] != own[c] and not (kinds[f] in numbers and own[c] in numbers)]:
+        raise SpecError(f"variation {name} has {own[named[odd[0]]]} where {odd[0]} is {kinds[odd[0]]}")
+    right = other.select(F.col(pos), *[F.col(f"`{c}`").cast(kinds[f]).alias(f"{name}__{f}") for f, c in named.items()])
     n, m = df.count(), right.count()
     if n != m:
         raise SpecError(f"variation {name} has {m} rows, and its source {n}")

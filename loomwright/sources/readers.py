@@ -1,12 +1,13 @@
-"""Readers by file extension; text is read as text first, so that nothing is guessed by the reader."""
+"""Readers by file extension. Text is read as lines with their place in the file, so that nothing is guessed by a reader,
+no line is lost, and a row's position is its place in the file and not one that sorting would give it."""
 
 from __future__ import annotations
 
 import csv
-import glob
 import io
 import json
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..errors import DataError, SpecError
 from ..functions import numeric
 from ..operators.missing import na_to_null
+from ..operators.position import POS
+from .files import resolve  # noqa: F401
 
 READERS: dict[str, Callable[..., DataFrame]] = {}
 CANDIDATES, SAMPLE_RECORDS, SAMPLE_BYTES = (",", ";", "\t", "|", " "), 50, 8 << 20
@@ -33,129 +36,243 @@ def extension(path: str) -> str:
     return next((e for e in sorted(READERS, key=len, reverse=True) if name.endswith(e)), os.path.splitext(name)[1])
 
 
+TEXT = (".csv", ".csv.gz", ".csv.zip", ".tsv", ".txt")
+
+
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file by its extension; an unknown one is tried as delimited text. Options that only text has are dropped for others."""
     kind = extension(path)
-    if kind not in READERS:
-        raise SpecError(f"no reader for {path}")
-    return READERS[kind](spark, path, **options)
+    if kind in READERS:
+        known = {"delimiter", "decimal", "header", "encoding", "deferred"} if kind not in TEXT else set()
+        return READERS[kind](spark, path, **{k: v for k, v in options.items() if k not in known})
+    try:
+        return read_text(spark, path, **options)
+    except (DataError, SpecError) as e:
+        raise SpecError(f"no reader for {path}, and it is no delimited text: {e}") from None
 
 
 def mangled(names: list[str]) -> list[str]:
-    """Headers made distinct: a, a.1, a.2."""
-    seen: dict[str, int] = {}
-    out = []
+    """Headers made distinct: a, a.1, a.2; a number that another header has already is left out."""
+    taken, seen, out = set(names), {}, []
     for n in names:
         k = seen.get(n, 0)
-        out.append(f"{n}.{k}" if k else n)
+        name = n
+        while k and (name := f"{n}.{k}") in taken:
+            k += 1
+        taken.add(name)
+        out.append(name)
         seen[n] = k + 1
     return out
 
 
-def sample(spark: SparkSession, path: str) -> list[str]:
-    return [r[0] for r in spark.read.text(path).limit(SAMPLE_RECORDS).collect()]
+# ---------------------------------------------------------------- lines
+
+_QUOTES = "(length(value) - length(replace(value, '\"', ''))) % 2 = 1"
+
+
+def _decoded(raw: bytes, encoding: str | None) -> str:
+    try:
+        return raw.decode(encoding or "utf-8")
+    except UnicodeDecodeError:
+        if encoding:
+            raise DataError(f"the file is not {encoding}") from None
+        return raw.decode("latin-1")
 
 
-def detect_delimiter(lines: list[str]) -> tuple[str, float]:
+def _whole_records(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+    """value, __pos of the records of a file that one task must read: an archive, or one with line breaks inside quotes."""
+    import zipfile
+
+    import pyarrow as pa
+
+    def records(raw: bytes):
+        if path.lower().endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                members = [m for m in z.infolist() if not m.is_dir()]
+                if len(members) != 1:
+                    raise DataError(f"an archive must have one member; this one has {len(members)}")
+                raw = z.read(members[0])
+        elif path.lower().endswith(".gz"):
+            import gzip
+
+            raw = gzip.decompress(raw)
+        held: list[str] = []
+        for line in io.StringIO(_decoded(raw, encoding)):
+            held.append(line.rstrip("\r\n"))
+            if sum(x.count('"') for x in held) % 2 == 0:
+                yield "\n".join(held)
+                held = []
+        if held:
+            yield "\n".join(held)
+
+    def decode(batches):
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                nth, out = 0, []
+                for record in records(raw):
+                    out.append(record)
+                    if len(out) == 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(range(nth, nth + len(out)), pa.int64())], names=["value", POS])
+                        nth, out = nth + len(out), []
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(range(nth, nth + len(out)), pa.int64())], names=["value", POS])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, f"value string, {POS} long")
+
+
+def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """value, __pos: the records of a text file, numbered from 0 in the file's order. UTF-8, or else Latin-1, unless an encoding is named.
+
+    Each split of the file numbers its own lines; one aggregate, a row for each split, gives what lies before it. No
+    line is sorted or sent anywhere. Only a file with line breaks inside quotes, or an archive, is read by one task.
+    """
+    if path.lower().endswith(".zip"):
+        return _whole_records(spark, path, encoding)
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__nth"))
+    splits = raw.groupBy("__block").agg(F.count("*").alias("n"), F.min("__nth").alias("first"), F.count_if(~F.is_valid_utf8("value")).alias("odd"), F.count_if(F.expr(_QUOTES)).alias("open")).orderBy("__block").collect()
+    if any(r["open"] for r in splits):
+        return _whole_records(spark, path, encoding)
+    before, shifts = 0, []
+    for r in splits:
+        shifts.append((r["__block"], before - r["first"]))
+        before += r["n"]
+    text = F.col("value")
+    if encoding and encoding.lower().replace("-", "") != "utf8":
+        text = F.decode(text.cast("binary"), encoding)
+    elif any(r["odd"] for r in splits):
+        if encoding:
+            raise DataError(f"the file is not {encoding}")
+        text = F.decode(text.cast("binary"), "ISO-8859-1")
+    if len(shifts) <= 1:
+        return raw.select(text.alias("value"), (F.col("__nth") + F.lit(shifts[0][1] if shifts else 0)).alias(POS))
+    shift = F.broadcast(spark.createDataFrame(shifts, "__block long, __shift long"))  # a row for each split
+    return raw.join(shift, "__block").select(text.alias("value"), (F.col("__nth") + F.col("__shift")).alias(POS))
+
+
+def sample(spark: SparkSession, path: str, encoding: str | None = None, n: int = SAMPLE_RECORDS) -> list[str]:
+    """The first records of a file."""
+    return [r["value"] for r in lines(spark, path, encoding).where(F.col(POS) < n).orderBy(POS).collect()]
+
+
+def detect_delimiter(records: list[str]) -> tuple[str, float]:
     """The candidate with the most consistent width, and its score; the semicolon among equals."""
-    best = (";", 0.0)
+    found = delimiter_scores(records)
+    best = max(found.values(), default=0.0)
+    equal = [d for d, score in found.items() if score == best]
+    return (";", 0.0) if not found else (";" if ";" in equal else equal[0], best)
+
+
+def delimiter_scores(records: list[str]) -> dict[str, float]:
+    """Score of each candidate that cuts most records into as many cells, two at least."""
+    out = {}
     for d in CANDIDATES:
-        widths = [len(r) for r in csv.reader(io.StringIO("\n".join(x for x in lines if x)), delimiter=d)]
-        if not widths or max(widths) < 2:
-            continue
-        common = max(set(widths), key=widths.count)
-        score = 5 * widths.count(common) / len(widths) + min(common / 10, 5)
-        if common > 1 and (score > best[1] or score == best[1] and d == ";"):
-            best = (d, score)
-    return best
-
-
-def guard_delimiter(lines: list[str], delimiter: str) -> None:
-    """Refuse a file without the declared delimiter that another one cuts into columns throughout."""
-    if lines and not any(delimiter in x for x in lines):
-        other, score = detect_delimiter(lines)
-        if score > 5 and other != delimiter:
-            raise DataError(f"the delimiter {delimiter!r} never occurs; {other!r} fits")
-
-
-@reader(".csv", ".csv.gz", ".tsv", ".txt")
-def read_text(spark: SparkSession, path: str, delimiter: str = ";", decimal: str = ".", header: bool = True, typed: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file; a record wider than the header is an error. Columns of numbers throughout become numbers."""
-    lines = sample(spark, path)
-    guard_delimiter(lines, delimiter)
-    first = next(csv.reader([lines[0]], delimiter=delimiter)) if lines else []
-    names = mangled(first) if header else [str(i) for i in range(len(first))]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    df = spark.read.csv(path, sep=delimiter, header=header, schema=schema, mode="FAILFAST", encoding=encoding, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if names else spark.createDataFrame([], "value string")
-    return cast_text(df, decimal) if typed and names else df
-
-
-def cast_text(df: DataFrame, decimal: str = ".") -> DataFrame:
-    """Missing cells to null; a column whose other cells all spell numbers becomes long or double: one aggregate decides for all."""
-    cells = {c: na_to_null(F.col(f"`{c}`")) for c in df.columns}
+        widths = [len(r) for r in csv.reader(io.StringIO("\n".join(x for x in records if x)), delimiter=d)]
+        if widths and (common := max(set(widths), key=widths.count)) > 1:
+            out[d] = 5 * widths.count(common) / len(widths) + min(common / 10, 5)
+    return out
+
+
+def guard_delimiter(records: list[str], delimiter: str, decimal: str | None = ".") -> None:
+    """Refuse a file without the declared delimiter that another one cuts into columns throughout, or whose commas may be decimal ones."""
+    kept = [x for x in records if x]
+    if not kept or any(delimiter in x for x in kept):
+        return
+    if delimiter != "," and decimal != "," and all(re.fullmatch(r'\s*"?[+-]?\d+,\d+"?\s*', x) for x in kept[1:]) and len(kept) > 1:
+        raise DataError(f"the delimiter {delimiter!r} never occurs, and commas may part cells or be decimal marks: declare which")
+    other, score = detect_delimiter(kept)
+    if score > 5 and other != delimiter and not (other == "," and decimal == ","):
+        raise DataError(f"the delimiter {delimiter!r} never occurs; {other!r} fits")
+
+
+def _cells(record: str, delimiter: str) -> list[str]:
+    return next(csv.reader([record], delimiter=delimiter), [])
+
+
+@reader(*TEXT)
+def read_text(spark: SparkSession, path: str, delimiter: str = ";", decimal: str = ".", header: bool = True, typed: bool = True, encoding: str | None = None, deferred: str | None = None) -> DataFrame:
+    """A delimited file with __pos, the place of each row. A blank line is a row of missing cells, so is what a short
+    record lacks; a record wider than the first is an error. Columns of numbers throughout become numbers. deferred: a
+    column to put a cell's refusal into, instead of raising it."""
+    whole = lines(spark, path, encoding)
+    first = [r["value"] for r in whole.where(F.col(POS) < SAMPLE_RECORDS).orderBy(POS).collect()]
+    if first:
+        first[0] = first[0].removeprefix("\ufeff")
+    guard_delimiter(first, delimiter, decimal)
+    head = _cells(first[0], delimiter) if first else []
+    names = mangled(head) if header else [str(i) for i in range(len(head))]
+    if not names:
+        return spark.createDataFrame([], f"value string, {POS} long")
+    body = whole.where(f"{POS} > 0").withColumn(POS, F.col(POS) - 1) if header else whole.withColumn("value", F.when(F.col(POS) == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    width = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
+    wide = body.where(width > len(names)).agg(F.min(F.struct(POS, width.alias("n"))).alias("x")).first()["x"]
+    if wide is not None:
+        raise DataError(f"row {wide[0]} has {wide['n']} cells, the first record {len(names)}")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(len(names) + 1), "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"}
+    cells = body.select(POS, F.from_csv("value", F.lit(schema), options).alias("x"))
+    df = cells.select(*[F.col(f"x.c{i}").alias(n) for i, n in enumerate(names)], POS)
+    return cast_text(df, decimal, deferred) if typed else df
+
+
+def cast_text(df: DataFrame, decimal: str = ".", deferred: str | None = None) -> DataFrame:
+    """Missing cells to null; a column whose other cells all spell numbers becomes long or double: one aggregate decides for all.
+
+    A number that no double holds is refused, or, deferred, named in a column, so that a row that goes does no harm.
+    """
+    names = [c for c in df.columns if c != POS]
+    cells = {c: na_to_null(F.col(f"`{c}`")) for c in names}
     plain = {c: F.translate(x, ",", ".") if decimal == "," else x for c, x in cells.items()}
     bad = lambda test, c: F.count_if(cells[c].isNotNull() & ~F.coalesce(test(plain[c]), F.lit(False)))
-    row = df.agg(*[F.struct(bad(numeric.is_integer, c).alias("not_integer"), bad(numeric.is_number, c).alias("not_number"), F.count_if(numeric.misfit(plain[c])).alias("misfits")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    out = []
-    for i, c in enumerate(df.columns):
+    row = df.agg(*[F.struct(bad(numeric.is_integer, c).alias("not_integer"), bad(numeric.is_number, c).alias("not_number"), F.count_if(numeric.misfit(plain[c])).alias("misfits"), F.count_if(numeric.is_integer(plain[c]) & plain[c].try_cast("long").isNull()).alias("beyond")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    out, refused = [], []
+    for i, c in enumerate(names):
         r = row[f"c{i}"]
         if r["not_number"]:
             out.append(cells[c].alias(c))
             continue
         if r["misfits"]:
-            raise DataError(f"{c} has {r['misfits']} numbers that no double holds")
-        whole = plain[c].try_cast("long") if not r["not_integer"] else plain[c].try_cast("double")
+            if not deferred:
+                raise DataError(f"{c} has {r['misfits']} numbers that no double holds")
+            refused.append(F.when(numeric.misfit(plain[c]), F.lit(f"{c} is a number that no double holds")))
+        whole = plain[c].try_cast("long") if not r["not_integer"] and not r["beyond"] else F.when(~numeric.misfit(plain[c]), plain[c].try_cast("double"))
         out.append(whole.alias(c))
-    return df.select(*out)
+    more = [F.coalesce(*refused, F.lit(None).cast("string")).alias(deferred)] if deferred else []
+    return df.select(*out, *([POS] if POS in df.columns else []), *more)
 
 
-@reader(".csv.zip")
-def read_zipped_text(spark: SparkSession, path: str, delimiter: str = ";", decimal: str = ".", header: bool = True, typed: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file that is the one member of an archive of up to 2 GB; it is unpacked as a stream, on an executor."""
-    import zipfile
+def preview(spark: SparkSession, path: str, delimiter: str = ";", decimal: str = ".", header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The first records of a text file as text, and typed."""
+    raw = read_text(spark, path, delimiter, decimal, header, typed=False).where(f"{POS} < {SAMPLE_RECORDS - bool(header)}")
+    return raw, cast_text(raw, decimal)
 
-    import pyarrow as pa
 
-    def decode(batches):
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    members = [m for m in z.infolist() if not m.is_dir()]
-                    if len(members) != 1:
-                        raise DataError(f"an archive must have one member; this one has {len(members)}")
-                    with z.open(members[0]) as f:
-                        nth, records = 0, []
-                        for record in csv.reader(io.TextIOWrapper(f, encoding, newline=""), delimiter=delimiter):
-                            if record:
-                                records.append(record)
-                            if len(records) == 5000:
-                                yield batch(nth, records)
-                                nth, records = nth + len(records), []
-                        yield batch(nth, records)
-
-    def batch(nth: int, records: list[list[str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(nth, nth + len(records)), pa.int64()), pa.array(records, pa.list_(pa.string()))], names=["nth", "cells"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "nth long, cells array<string>")
-    lines = [r[0] for r in rows.where(F.col("nth") < SAMPLE_RECORDS).orderBy("nth").select("cells").collect()]
-    if not lines:
-        return spark.createDataFrame([], "value string")
-    guard_delimiter([delimiter.join(x) for x in lines], delimiter)
-    names = mangled(lines[0]) if header else [str(i) for i in range(len(lines[0]))]
-    wide = F.when(F.size("cells") > len(names), F.raise_error(F.lit(f"a record has more than {len(names)} cells"))).otherwise(F.col("cells"))
-    body = (rows.where("nth > 0") if header else rows).select(wide.alias("cells"))
-    df = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return cast_text(df, decimal) if typed else df
+# ---------------------------------------------------------------- other formats
 
 
 @reader(".parquet")
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Columns in the order asked for; a row's place is that in its file, files in the order of their paths."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
-
-
-@reader(".npy")
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an array of up to 2 GB, columns 0..n-1, N-D flattened to 2-D; the file is decoded on an executor."""
+    names = columns or df.columns
+    if missing := [c for c in names if c not in df.columns]:
+        raise SpecError(f"there is no column {missing[0]!r} in {path}")
+    if POS in df.columns:
+        return df.select(*names)
+    meta = df.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_path").alias("__file"))
+    files = meta.groupBy("__file").agg(F.count("*").alias("n")).orderBy("__file").collect()  # a row for each file
+    before, shifts = 0, []
+    for r in files:
+        shifts.append((r["__file"], before))
+        before += r["n"]
+    if len(shifts) <= 1:
+        return meta.withColumn(POS, F.col("__row")).drop("__row", "__file")
+    shift = F.broadcast(spark.createDataFrame(shifts, "__file string, __shift long"))
+    return meta.join(shift, "__file").withColumn(POS, F.col("__row") + F.col("__shift")).drop("__row", "__file", "__shift")
+
+
+@reader(".npy", ".npz")
+def read_npy(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Rows of an array of up to 2 GB, columns 0..n-1, N-D flattened to 2-D; the file is decoded on an executor. An npz archive's array is named, unless it is the only one."""
     import numpy as np
     import pyarrow as pa
 
@@ -163,29 +280,128 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for raw in b.column("content").to_pylist():
                 a = np.load(io.BytesIO(raw), allow_pickle=False)
+                if hasattr(a, "files"):
+                    if key is None and len(a.files) != 1 or key is not None and key not in a.files:
+                        raise DataError(f"the archive holds {', '.join(a.files)}: name one of them")
+                    a = a[key or a.files[0]]
                 a = a.reshape(len(a), -1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(list(a), pa.list_(pa.float64()))], names=["__pos", "x"])
+                for k in range(0, len(a), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, min(len(a), k + 4096))), pa.array(list(a[k : k + 4096]), pa.list_(pa.float64()))], names=[POS, "x"])
 
-    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "__pos long, x array<double>")
+    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, f"{POS} long, x array<double>")
     width = df.select(F.size("x")).first()
-    return df.select("__pos", *[F.get("x", F.lit(i)).alias(str(i)) for i in range(width[0] if width else 0)])
+    return df.select(POS, *[F.get("x", F.lit(i)).alias(str(i)) for i in range(width[0] if width else 0)])
 
 
-def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Scalar objects as rows; columns in the order in which they are first seen."""
-    names = list(dict.fromkeys(k for r in rows for k in r))
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names) if rows else spark.createDataFrame([], "value string")
+@reader(".xlsx", ".xls")
+def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, skip_rows: int = 0, columns: list | None = None) -> DataFrame:
+    """A sheet by its name or number, read on the driver; needs pandas with the engine for the format."""
+    import pandas as pd
+
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    try:
+        sheet_rows = pd.read_excel(io.BytesIO(bytes(content)), sheet_name=sheet, skiprows=skip_rows, usecols=columns)
+    except ImportError as e:
+        raise SpecError(f"sheets need another package: {e}") from None
+    sheet_rows.columns = mangled([str(c) for c in sheet_rows.columns])
+    sheet_rows[POS] = range(len(sheet_rows))
+    return spark.createDataFrame(sheet_rows)
+
+
+def decoder(*extensions: str):
+    """Register a function that makes rows (dicts of scalars) of a file's bytes, for formats that only its maker's decoder reads.
+
+    Columns whose names begin with x_ or whose cells are numbers are the decoder's features; see decoder_features.
+    """
+
+    def add(f):
+        def run(spark: SparkSession, path: str) -> DataFrame:
+            import pyarrow as pa
+
+            def decode(batches):
+                for b in batches:
+                    for raw in b.column("content").to_pylist():
+                        rows = [json.dumps(r) for r in f(raw)]
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(range(len(rows)), pa.int64())], names=["value", POS])
+
+            df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, f"value string, {POS} long")
+            # each row's own kinds, then for each name the widest of them
+            keys = df.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+            found = keys.groupBy("k").agg(F.bool_and(F.col("v").try_cast("double").isNotNull() | F.col("v").isNull()).alias("number")).orderBy("k").collect()
+            kinds = ", ".join(f"`{r['k']}` {'double' if r['number'] else 'string'}" for r in found)
+            return df.select(POS, F.from_json("value", kinds).alias("x")).select(POS, "x.*")
+
+        READERS.update(dict.fromkeys(extensions, run))
+        return f
+
+    return add
+
+
+def decoder_features(df: DataFrame) -> list[str]:
+    """Of what a decoder gives: columns named x_... and columns of numbers."""
+    return [c for c, kind in df.dtypes if c != POS and (c.startswith("x_") or kind in ("double", "float", "bigint", "int"))]
+
 
+# ---------------------------------------------------------------- values at hand
 
-def from_arrays(spark: SparkSession, x, y=None, split: list[str] | None = None) -> DataFrame:
-    """Features f0.. with targets y0.. and a partition: X alone is for prediction, X and y for training."""
+
+def from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Scalar objects as rows, with their places; columns in the order in which they are first seen."""
+    if bad := next((k for r in rows for k, v in r.items() if isinstance(v, (dict, list, tuple, set))), None):
+        raise SpecError(f"{bad} holds more than one value")
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    if not rows:
+        return spark.createDataFrame([], f"value string, {POS} long")
+    kinds = []
+    for n in names:
+        found = {type(r[n]) for r in rows if r.get(n) is not None}
+        kinds.append("boolean" if found == {bool} else "bigint" if found == {int} else "double" if found and found <= {int, float} else "string")
+    cast = {"double": float, "string": str}
+    cells = [tuple(None if r.get(n) is None else cast.get(k, lambda v: v)(r[n]) for n, k in zip(names, kinds, strict=True)) + (i,) for i, r in enumerate(rows)]
+    return spark.createDataFrame(cells, ", ".join([f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)] + [f"{POS} long"]))
+
+
+def from_records(spark: SparkSession, records: list[dict]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Decoded records: each has signals (values by axis labels), targets and metadata. One row each, and which column has which role."""
+    rows, roles = [], {"features": [], "targets": [], "metadata": []}
+    for nth, record in enumerate(records):
+        row: dict = {}
+        for signal in record.get("signals", []):
+            axis = [str(a) for a in signal["axis"]]
+            if len(axis) != len(signal["values"]) or len(set(axis)) != len(axis):
+                raise DataError(f"record {nth}: a signal has {len(signal['values'])} values for {len(set(axis))} distinct labels")
+            named = axis if not signal.get("name") or len(record["signals"]) == 1 else [f"{signal['name']}__{a}" for a in axis]
+            row.update(zip(named, map(float, signal["values"]), strict=True))
+            roles["features"] += [n for n in named if n not in roles["features"]]
+        for role in ("targets", "metadata"):
+            for k, v in (record.get(role) or {}).items():
+                if k in row:
+                    raise DataError(f"record {nth}: {k} is there twice")
+                row[k] = v
+                roles[role] += [k] if k not in roles[role] else []
+        rows.append(row)
+    return from_rows(spark, rows), roles
+
+
+def from_arrays(spark: SparkSession, x, y=None, split: list[str] | None = None, metadata: dict | None = None) -> DataFrame:
+    """Features f0.. with targets y0.., metadata by name and a partition: X alone is for prediction, X and y for training. x may be a dict of X, y, metadata and split."""
+    if isinstance(x, dict):
+        named = {str(k).lower(): v for k, v in x.items()}
+        if unknown := set(named) - {"x", "y", "metadata", "split"} or ("x" not in named and {"x"}):
+            raise SpecError(f"arrays are named X, y, metadata and split, not {sorted(unknown)[0]!r}")
+        x, y, split, metadata = named["x"], named.get("y", y), named.get("split", split), named.get("metadata", metadata)
+    n_rows = len(x)
+    for what, own in (("y", y), ("split", split), *(metadata or {}).items()):
+        if own is not None and len(own) != n_rows:
+            raise DataError(f"{what} has {len(own)} rows, X {n_rows}")
     rows = []
     for i, own in enumerate(x):
-        target = [] if y is None else list(y[i]) if hasattr(y[i], "__len__") else [y[i]]
-        rows.append((i, *map(float, own), *map(float, target), split[i] if split else ("predict" if y is None else "train")))
-    n = len(x[0]) if len(x) else 0
-    m = len(rows[0]) - n - 2 if rows else 0
-    schema = ", ".join(["__pos long", *[f"f{i} double" for i in range(n)], *[f"y{i} double" for i in range(m)], "__partition string"])
+        target = [] if y is None else list(y[i]) if hasattr(y[i], "__len__") and not isinstance(y[i], str) else [y[i]]
+        more = [None if v[i] is None else str(v[i]) for v in (metadata or {}).values()]
+        rows.append((i, *map(float, own), *map(float, target), *more, split[i] if split is not None else ("predict" if y is None else "train")))
+    n = len(x[0]) if n_rows else 0
+    m = len(rows[0]) - n - 2 - len(metadata or {}) if rows else 0
+    schema = ", ".join([f"{POS} long", *[f"f{i} double" for i in range(n)], *[f"y{i} double" for i in range(m)], *[f"`{k}` string" for k in metadata or {}], "__partition string"])
     return spark.createDataFrame(rows, schema)
 
 
@@ -199,14 +415,3 @@ def read_positions(spark: SparkSession, path: str) -> list[int]:
     if not all(type(i) is int for i in found):
         raise SpecError(f"{path} holds other things than integers")
     return found
-
-
-def resolve(ref: str, base: str = ".") -> list[str]:
-    """Paths that a reference stands for, sorted: an existing name before a pattern, the base folder first."""
-    for root in (base, ""):
-        path = os.path.join(root, ref) if root else ref
-        if os.path.exists(path):
-            return [path]
-        if found := sorted(glob.glob(path)):
-            return found
-    raise SpecError(f"{ref} is not there")

@@ -26,8 +26,8 @@ VOCABULARY = {
 }
 ALIASES = {
     "role": {"x": "features", "y": "targets", "meta": "metadata", "m": "metadata", "weight": "weights"},
-    "partition": {"cal": "train", "calibration": "train", "validation": "val", "holdout": "predict", "inference": "predict"},
-    "header_unit": {"wavenumber": "cm-1", "cm1": "cm-1", "nanometer": "nm", "nanometers": "nm"},
+    "partition": {"cal": "train", "calibration": "train", "validation": "val", "holdout": "test", "inference": "predict"},
+    "header_unit": {"wavenumber": "cm-1", "cm1": "cm-1", "cm_1": "cm-1", "nanometer": "nm", "nanometers": "nm"},
 }
 
 

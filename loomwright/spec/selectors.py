@@ -108,7 +108,12 @@ def split_roles(columns: list[Header], selectors: list[tuple[str, object]], exem
     for role, selector in sorted(selectors, key=lambda x: is_rest(x[1])):
         if role not in ROLES:
             raise SpecError(f"there is no role {role!r}")
-        for name in resolve(selector, columns, set(owner) | set(exempt)):
+        taken = set(owner) | set(exempt)
+        if isinstance(selector, dict) and isinstance(selector.get("auto"), (list, tuple)):
+            found = automatic(role, columns, taken, tuple(selector["auto"]))
+        else:
+            found = resolve(selector, columns, taken)
+        for name in found:
             if name in owner:
                 if strict and owner[name] != role:
                     raise SpecError(f"{name} is {owner[name]} and {role}")
