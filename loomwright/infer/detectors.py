@@ -15,18 +15,43 @@ _RULES = (
 
 
 def _within(x: float, bounds) -> bool:
-    return bounds is None or (bounds[0] is None or x >= bounds[0]) and (bounds[1] is None or x <= bounds[1])
+    """Bounds belong to the range, but for a low one of 1.5, above which percentages begin."""
+    return bounds is None or (bounds[0] is None or x > bounds[0] or x == bounds[0] != 1.5) and (bounds[1] is None or x <= bounds[1])
+
+
+#: Wavelengths in nm at which water absorbs, and what a peak or a dip of the mean spectrum there adds to each type (fixed values).
+WATER = (1450.0, 1940.0, 2500.0)
+_PEAK = {"absorbance": 0.3, "reflectance": -0.1, "transmittance": -0.1, "reflectance%": -0.1, "transmittance%": -0.1}
+_DIP = {"absorbance": -0.1, "reflectance": 0.2, "transmittance": 0.2, "reflectance%": 0.2, "transmittance%": 0.2}
+
+
+def water_hints(mean: list[float], axis: list[float]) -> dict[str, float]:
+    """What the mean spectrum's peaks and dips at the water bands say for each signal type; axis in nm."""
+    out = dict.fromkeys(_PEAK, 0.0)
+    if not axis:
+        return out
+    for band in WATER:
+        if not min(axis) <= band <= max(axis):
+            continue
+        at = min(range(len(axis)), key=lambda i: abs(axis[i] - band))
+        around = mean[max(0, at - 10) : at + 11]
+        level = sum(around) / len(around)
+        for name in out:
+            out[name] += _PEAK[name] if mean[at] > 1.05 * level else _DIP[name] if mean[at] < 0.95 * level else 0
+    return out
 
 
-def signal_type(low: float, high: float, mean: float, std: float) -> tuple[str, float]:
+def signal_type(low: float, high: float, mean: float, std: float, hints: dict[str, float] | None = None) -> tuple[str, float]:
     if abs(mean) < 0.01 and std > 0.1 or abs(std - 1) < 0.1 and abs(mean) < 0.1 or low < -0.5 and high < 0.5 and abs(mean) < 0.01:
         return "preprocessed", 0.9
     scores: dict[str, float] = {}
     for name, lows, highs, means, points in _RULES:
         if _within(low, lows) and _within(high, highs) and _within(mean, means):
             scores[name] = scores.get(name, 0) + points
-    if not scores:
+    scores = {k: v + 0.2 * (hints or {}).get(k, 0.0) for k, v in scores.items()}
+    if not scores or max(scores.values()) <= 0:
         return "unknown", 0.0
+    scores = {k: max(v, 0.0) for k, v in scores.items()}
     best = max(scores, key=scores.get)
     share = scores[best] / sum(scores.values())
     return (best, share) if share >= 0.7 else ("unknown", share)
@@ -60,30 +85,18 @@ def wavelength_header(names: list[str]) -> tuple[str, float] | None:
     return ("cm-1", 0.85) if 400 <= low <= 15000 and 1000 <= high <= 15000 else None
 
 
-_ID_NAME = re.compile(r"^(sample(_?id)?|id|name|code|ref(erence)?|key|index|spectrum_id|scan_id|.+_id|id_.+)$", re.I)
+# Names of columns that identify samples, compared in lower case and without separators; and, with them, beginnings and ends.
+ID_NAMES = {"sample", "sampleid", "id", "name", "code", "ref", "reference", "key", "index", "spectrumid", "scanid"}
+
+
+def is_id_name(name: str) -> bool:
+    low = re.sub(r"[\s\-.]+", "_", name.strip().lower())
+    return low.replace("_", "") in ID_NAMES or low.endswith("_id") or low.startswith("id_")
 
 
 def sample_id_score(name: str, uniqueness: float, dtype: str) -> float:
     """How likely a column identifies samples; 0.5 is accepted."""
     if re.fullmatch(r"\d+(\.\d+)?", name):
         return 0.0
-    score = 0.5 * bool(_ID_NAME.match(name)) + (0.35 if uniqueness >= 1 else 0.15 if uniqueness >= 0.9 else 0)
+    score = 0.5 * is_id_name(name) + (0.35 if uniqueness >= 1 else 0.15 if uniqueness >= 0.9 else 0)
     return score + (-0.25 if dtype == "double" else 0.1 if dtype == "string" else 0)
-
-
-_PARTITION = {"train": ("train", "cal"), "test": ("test", "val")}
-_ROLE = {"features": ("x",), "targets": ("y",), "metadata": ("m", "meta", "metadata")}
-
-
-def match_files(stems: list[str]) -> dict[str, tuple[str, str]]:
-    """Role and partition of files by their names: a role and a partition word in either order, with or without _; or a bare role."""
-    out = {}
-    for stem in stems:
-        plain = stem.lower()
-        for role, words in _ROLE.items():
-            for part, forms in _PARTITION.items():
-                if any(plain in (w + f, f + w, f"{w}_{f}", f"{f}_{w}") for w in words for f in forms):
-                    out[stem] = (role, part)
-            if plain in words:
-                out.setdefault(stem, (role, "train"))
-    return out

@@ -173,7 +173,8 @@ def test_detectors():
     assert detectors.task_type(True, 2, 0, 1, 10) == ("binary", 0.9)
     assert detectors.signal_type(0.4, 1.4, 0.9, 0.2)[0] == "absorbance"
     assert detectors.signal_type(-3, 3, 0.0, 1.0) == ("preprocessed", 0.9)
-    assert detectors.match_files(["Xcal", "Yval", "M_train", "other"]) == {"Xcal": ("features", "train"), "Yval": ("targets", "test"), "M_train": ("metadata", "train")}
+    assert detectors.signal_type(0.0, 1.5, 0.3, 0.2)[0] != "reflectance%"
+    assert all(map(detectors.is_id_name, ("Sample ID", "spectrum id", "scan-id", "plot_id", "id_plot", "Code"))) and not detectors.is_id_name("protein")
     assert readers.detect_delimiter(["a;b", "1;2"])[0] == ";"
     assert detectors.sample_id_score("sample_id", 1.0, "string") >= 0.5
 
