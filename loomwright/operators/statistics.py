@@ -36,3 +36,8 @@ def replicate_groups(df: DataFrame, column: str, pattern: str) -> DataFrame:
     name, base = F.col(column), F.regexp_replace(column, pattern, "")
     p = df.agg(F.count_if(name.rlike(pattern)).alias("n_matched"), F.count("*").alias("n_rows"), F.count_distinct(base).alias("n_groups"))
     return p.select("n_matched", "n_rows", "n_groups", (F.col("n_rows") / F.col("n_groups")).alias("avg_repeats"))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column, each once, in order; a missing one is none of them."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

@@ -205,10 +205,9 @@ def _table(spark: SparkSession, s: Source, spec: DatasetSpec, base: str, frames:
         raise SpecError(f"source {s.id} has no key column {absent[0]!r}")
     hidden = [c for c in (POS, partitions.PARTITION, refused) if c in df.columns]
     columns = selectors.headers(df.drop(*hidden))
-    # columns that others join by need no role; those that have none become metadata and are not shown
-    free = tuple(k for k in (*keys, STEM) if k in df.columns)
+    free = tuple(dict.fromkeys([*s.key, *(s.join.right_on if s.join else []), STEM]))
     chosen = s.columns or ([(s.role, "rest")] if s.role != "mixed" else [("metadata", "rest")])
-    roles = selectors.split_roles(columns, chosen, free, s.strict_columns, tuple(spec.identity))
+    roles = selectors.split_roles(columns, chosen, free, s.strict_columns, tuple(spec.identity), tuple(keys))
     if POS not in df.columns and (s.key and s.key != [STEM]):
         df = with_position(df, *[k for k in s.key if k != STEM])
     flag = f"__gone_{s.id}" if p.na_policy == "remove_sample" else None

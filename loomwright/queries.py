@@ -50,11 +50,6 @@ def flagship(spark, sf):
     return x.select("l_orderkey", "n_lines", "quantity", "discount", "o_totalprice", "c_mktsegment", "n_name", "partition")
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
-def scan_projection(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-
-
 def _selected(name: str, source: str, selector, sql: str) -> None:
     def run(spark, sf):
         df = table(spark, sf, source)
@@ -106,11 +101,6 @@ def join_drop_audit(spark, sf):
     return joins.unmatched_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"], ["doc_id"])
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def join_error_first_miss(spark, sf):
-    return joins.unmatched_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"], ["doc_id"]).agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_m1_lookup(spark, sf):
     x = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -158,16 +148,6 @@ def coverage_audit(spark, sf):
     return statistics.coverage_audit(table(spark, sf, "orders"), table(spark, sf, "lineitem"), "o_orderkey", "l_orderkey")
 
 
-@query("""
-WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS p, r_name FROM region), n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_name FROM nation WHERE n_nationkey < 5)
-SELECT p AS __pos, r_name, n_name FROM r JOIN n USING (p)
-""")
-def row_align(spark, sf):
-    left = with_position(table(spark, sf, "region"), "r_regionkey").select(POS, "r_name")
-    right = with_position(table(spark, sf, "nation").where("n_nationkey < 5"), "n_nationkey").select(POS, "n_name")
-    return joins.row_order_join(left, right)
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
 def position_stamp(spark, sf):
     return with_position(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", out="pos")
@@ -182,12 +162,6 @@ def by_key_merge(spark, sf):
     return joins.merge_by_key([by.agg(F.count("*").alias("n")), by.agg(F.max("o_totalprice").alias("most")), by.agg(F.min("o_orderkey").alias("first"))], ["o_custkey"])
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part")
-def concat_features_keyed(spark, sf):
-    p = table(spark, sf, "part")
-    return joins.merge_by_key([p.select("p_partkey", "p_size"), p.select("p_partkey", "p_retailprice")], ["p_partkey"])
-
-
 @query("""
 SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS __pos, p_partkey, p_size, p_retailprice, p_size AS b__p_size FROM part
 """)
@@ -449,12 +423,6 @@ def cohort_left_presence(spark, sf):
     return joins.align_cohort(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("SELECT c_custkey, c_name, true AS present FROM customer")
-def cohort_strict(spark, sf):
-    c = table(spark, sf, "customer")
-    return joins.align_cohort(c.select("c_custkey"), c.select("c_custkey", "c_name"), "c_custkey", strict=True)
-
-
 @query("SELECT conv_id, count(*) AS n_points FROM conversations GROUP BY 1")
 def ragged_lengths(spark, sf):
     return agg.ragged_lengths(table(spark, sf, "conversations"), "conv_id")
@@ -465,41 +433,14 @@ def ragged_time_check(spark, sf):
     return agg.increasing_within(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id IN (3, 1, 7)")
-def ragged_take(spark, sf):
-    return table(spark, sf, "conversations").where(F.col("conv_id").isin(3, 1, 7)).select("conv_id", "turn", "role")
-
-
 @query("SELECT vec_id, CAST(idx AS INTEGER) AS idx, CAST(embedding[idx + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(idx)")
 def tensor_long_form(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query("SELECT doc_id, CAST(n_chars AS DOUBLE) AS x, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
-def dense_regression(spark, sf):
-    both = joins.contract_join(table(spark, sf, "documents").select("doc_id", "n_chars"), table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"], coverage="warn")[0]
-    return missing.remove_sample(both, ["quality"]).select("doc_id", F.col("n_chars").cast("double").alias("x"), F.col("quality").cast("double").alias("y"))
-
-
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id BETWEEN 1000 AND 1999")
-def batch_cursor(spark, sf):
-    return table(spark, sf, "events").where(F.col("event_id").between(1000, 1999)).select("event_id", "user_id", "event_type")
-
-
-@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'train' ELSE 'test' END AS partition, 'targets' AS role, count(*) AS n_rows, 1 AS n_columns FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL")
-def manifest_entries(spark, sf):
-    o = partitions.by_column(table(spark, sf, "orders"), "o_orderstatus", _LISTS, "drop", "partition")
-    return o.groupBy("partition").agg(F.count("*").alias("n_rows")).select("partition", F.lit("targets").alias("role"), "n_rows", F.lit(1).alias("n_columns"))
-
-
 @query("SELECT n_nationkey, sha256(concat_ws(chr(31), CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS digest FROM nation")
 def row_hash(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", agg.row_hash("n_nationkey", "n_name", "n_regionkey").alias("digest"))
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS n_rows, (SELECT count(DISTINCT n_nationkey) FROM nation) AS n_unique, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) AS n_shared")
-def metadata_relation(spark, sf):
-    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
-    shared = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").agg(F.count_distinct("c_nationkey").alias("n_shared"))
-    row = shared.first()
-    return n.agg(F.count("*").alias("n_rows"), F.count_distinct("n_nationkey").alias("n_unique")).withColumn("n_shared", F.lit(row["n_shared"]).cast("long"))
+from . import queries_of_files  # noqa: E402, F401  (adds the queries that need files or whole datasets)

@@ -127,13 +127,15 @@ def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFr
     """
     if path.lower().endswith(".zip"):
         return _whole_records(spark, path, encoding)
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__nth"))
-    splits = raw.groupBy("__block").agg(F.count("*").alias("n"), F.min("__nth").alias("first"), F.count_if(~F.is_valid_utf8("value")).alias("odd"), F.count_if(F.expr(_QUOTES)).alias("open")).orderBy("__block").collect()
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__nth"))
+    splits = raw.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__nth").alias("first"), F.count_if(~F.is_valid_utf8("value")).alias("odd"), F.count_if(F.expr(_QUOTES)).alias("open")).orderBy("__file", "__block").collect()
     if any(r["open"] for r in splits):
+        if len({r["__file"] for r in splits}) > 1:
+            raise DataError("line breaks inside quotes, in a folder of several files: stack the files one by one")
         return _whole_records(spark, path, encoding)
     before, shifts = 0, []
     for r in splits:
-        shifts.append((r["__block"], before - r["first"]))
+        shifts.append((r["__file"], r["__block"], before - r["first"]))
         before += r["n"]
     text = F.col("value")
     if encoding and encoding.lower().replace("-", "") != "utf8":
@@ -143,9 +145,9 @@ def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFr
             raise DataError(f"the file is not {encoding}")
         text = F.decode(text.cast("binary"), "ISO-8859-1")
     if len(shifts) <= 1:
-        return raw.select(text.alias("value"), (F.col("__nth") + F.lit(shifts[0][1] if shifts else 0)).alias(POS))
-    shift = F.broadcast(spark.createDataFrame(shifts, "__block long, __shift long"))  # a row for each split
-    return raw.join(shift, "__block").select(text.alias("value"), (F.col("__nth") + F.col("__shift")).alias(POS))
+        return raw.select(text.alias("value"), (F.col("__nth") + F.lit(shifts[0][2] if shifts else 0)).alias(POS))
+    shift = F.broadcast(spark.createDataFrame(shifts, "__file string, __block long, __shift long"))  # a row for each split
+    return raw.join(shift, ["__file", "__block"]).select(text.alias("value"), (F.col("__nth") + F.col("__shift")).alias(POS))
 
 
 def sample(spark: SparkSession, path: str, encoding: str | None = None, n: int = SAMPLE_RECORDS) -> list[str]:
@@ -201,6 +203,8 @@ def read_text(spark: SparkSession, path: str, delimiter: str = ";", decimal: str
     names = mangled(head) if header else [str(i) for i in range(len(head))]
     if not names:
         return spark.createDataFrame([], f"value string, {POS} long")
+    if POS in names:
+        raise SpecError(f"a column may not be called {POS}")
     body = whole.where(f"{POS} > 0").withColumn(POS, F.col(POS) - 1) if header else whole.withColumn("value", F.when(F.col(POS) == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
     width = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1

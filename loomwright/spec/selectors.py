@@ -94,11 +94,12 @@ def automatic(role: str, columns: list[Header], taken: frozenset[str] | set[str]
     return {"features": numbers, "targets": numbers[-1:], "metadata": [c.name for c in free if c.dtype != "numeric"], "ignore": [c.name for c in free]}[role]
 
 
-def split_roles(columns: list[Header], selectors: list[tuple[str, object]], exempt: tuple[str, ...] = (), strict: bool = True, identity: tuple[str, ...] = ()) -> dict[str, list[str]]:
+def split_roles(columns: list[Header], selectors: list[tuple[str, object]], exempt: tuple[str, ...] = (), strict: bool = True, identity: tuple[str, ...] = (), spare: tuple[str, ...] = ()) -> dict[str, list[str]]:
     """Columns by role. Selectors work in order, rest last; a column in two roles is an error unless not strict (the first keeps it).
 
-    What is left is an error without a rest; exempt columns (keys, markers) need no role. Identity columns become
-    metadata whatever their role.
+    What is left is an error without a rest; exempt columns (keys) need no role and rest leaves them out, spare ones (that
+    other sources join by, or that mark partitions) need none but rest takes them. Identity columns become metadata
+    whatever their role.
     """
     out: dict[str, list[str]] = {r: [] for r in ROLES}
     owner: dict[str, str] = {}
@@ -119,7 +120,7 @@ def split_roles(columns: list[Header], selectors: list[tuple[str, object]], exem
                     raise SpecError(f"{name} is {owner[name]} and {role}")
                 continue
             owner[name] = role
-    if left := [c.name for c in columns if c.name not in owner and c.name not in exempt and c.name not in identity]:
+    if left := [c.name for c in columns if c.name not in owner and c.name not in (*exempt, *spare, *identity)]:
         raise SpecError(f"{left[0]} has no role")
     for c in columns:
         if c.name in identity:
