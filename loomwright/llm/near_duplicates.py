@@ -10,7 +10,8 @@
 3. A text can only reach the threshold if shingles of other texts too make up that share of its weight; the rest,
    which is most of a corpus, ends here. This loses nothing.
 4. BANDS x ROWS consistent weighted samples of each text left; a pair at 0.8 meets in no band with probability 0.0006.
-5. Within a band's bucket each text is compared with the bucket's least id only, by exact weighted Jaccard similarity;
+5. Within a band's bucket each text is compared with the bucket's most central one only (the one whose shingles the most
+   texts have: of a text and its edited copies the text itself, whatever its id), by exact weighted Jaccard similarity;
    links make components. Where a bucket still holds several components, a further round compares one text of each with
    one of another. So a hot bucket gives as many pairs as it has rows, never all pairs, and no bucket is gathered in
    one task.
@@ -40,8 +41,8 @@ LEAST_IDF = 0.8
 #: Bytes of text of a chunk.
 CHUNK_BYTES = 6 << 20
 _APART = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
-_SETS = pa.schema([("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("set", pa.binary()), ("total", pa.float64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.float64()))])
-_SETS_DDL = "doc_id long, bands array<long>, n int, set binary, total double, prefix array<long>, rest array<double>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("set", pa.binary()), ("total", pa.float64()), ("centre", pa.float64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.float64()))])
+_SETS_DDL = "doc_id long, bands array<long>, n int, set binary, total double, centre double, prefix array<long>, rest array<double>"
 
 
 def _gamma_table(n: int) -> np.ndarray:
@@ -185,9 +186,10 @@ def text_sets(docs: DataFrame, reps: DataFrame, n_texts: int, threshold: float)
         ids = own["doc_id"].combine_chunks().take(pa.array(row[starts]))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
         total, of, prefix, rest = prefixes(h, w, df, starts, threshold)
+        centre = np.add.reduceat(w * np.log(df.astype(np.float64)), starts) / total
         edges = pa.array(np.searchsorted(of, np.arange(len(starts) + 1)), pa.int32())
         prefix, rest = (pa.ListArray.from_arrays(edges, pa.array(x)) for x in (prefix.view(np.int64), rest))
-        return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary()), pa.array(total), prefix, rest], schema=_SETS)
+        return pa.table([ids, lists, pa.array(ends - starts, pa.int32()), pa.array(sets, pa.binary()), pa.array(total), pa.array(centre), prefix, rest], schema=_SETS)
 
     asked = of_chunk.cogroup(rep.groupBy("chunk")).applyInArrow(lean(send), SENT)
     answers = stored(asked.groupBy("bucket").applyInArrow(lean(merge), ANSWER), "frequencies")
@@ -257,10 +259,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     reps = members.where("doc_id = text_id").select("doc_id")
     sets = text_sets(rows, reps, reps.count(), threshold)
 
-    placed = stored(sets.select("doc_id", F.explode("bands").alias("key")), "bands")
-    keys = placed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("size")).where("size > 1")
-    placed = stored(placed.join(keys.select("key"), "key"), "bands")
-    pairs = stored(placed.join(keys.select("key", "b"), "key").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct(), "pairs")
+    placed = stored(sets.select("doc_id", "centre", F.explode("bands").alias("key")), "bands")
+    keys = placed.groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("centre"), "doc_id")).alias("b"), F.count("*").alias("size")).where("size > 1")
+    placed = stored(placed.join(keys.select("key"), "key").select("doc_id", "key"), "bands")
+    pairs = stored(placed.join(keys.select("key", "b"), "key").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).where("a <> b").distinct(), "pairs")
     links, tried = stored(verified(pairs, sets, threshold), "links"), pairs
     roots = components(links)
     for nth in range(1, ROUNDS):

@@ -491,3 +491,19 @@ def test_a_group_that_holds_a_third_of_all_rows(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(table).collect()}
     assert {got[k] for k in range(60)} == {0} and all(got[k] == k for k in range(60, 180))
+
+
+def test_copies_are_compared_with_what_they_are_copies_of(spark, monkeypatch):
+    rng, base = random.Random(22), prose(9700, 200).split()
+    texts = []
+    for k in range(80):  # each 0.8 and more to the text, and below 0.8 to most others
+        own = list(base)
+        for at in rng.sample(range(200), 3):
+            own[at] = f"f{k}x{at}"
+        texts.append(" ".join(own))
+    texts.append(" ".join(base))  # the last id of all
+    compared = []
+    own = near_duplicates.verified
+    monkeypatch.setattr(near_duplicates, "verified", lambda pairs, *a: (compared.append(pairs.count()), own(pairs, *a))[1])
+    got = near_duplicates.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and sum(compared) < 400
