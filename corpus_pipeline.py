@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id (rows without an id come last), and one row of repeated ones.
 
-    Rows are told apart by a hash of id and text, so that ids may repeat or be null.
+    Rows are told apart by a hash of id and text, so that ids may repeat or be null; rows are repeated if id and text are equal.
     """
     key = F.xxhash64("doc_id", "text")
     classes = near_duplicates.near_duplicate_classes(docs.select(key.alias("doc_id"), "text"))
@@ -39,7 +39,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return kept.select("__row.*")
     once = kept.join(again, F.col("__key") == F.col("__again"), "left_anti").select("__row.*")
-    return once.unionByName(kept.join(again, F.col("__key") == F.col("__again"), "left_semi").dropDuplicates(["__key"]).select("__row.*"))
+    repeated = kept.join(again, F.col("__key") == F.col("__again"), "left_semi").withColumns({"__id": F.col("__row.doc_id"), "__text": F.col("__row.text")})
+    return once.unionByName(repeated.dropDuplicates(["__key", "__id", "__text"]).select("__row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
