@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys with more rows than this get their quantiles by narrowing intervals, so that no task holds all their values.
+LARGE_GROUP = 1_000_000
+#: Points of a sketch between which a rank is looked for, and its accuracy: about one row in 300 is left to be sorted.
+POINTS, ACCURACY = 1000, 10_000
+
 
 def repetition_profile(df: DataFrame, key: str) -> DataFrame:
     """n_rows, n_unique (missing counts as a value), avg_repeats, is_repetition of a key."""
@@ -14,12 +19,84 @@ def repetition_profile(df: DataFrame, key: str) -> DataFrame:
     return p.select("n_rows", "n_unique", avg.alias("avg_repeats"), ((F.col("n_unique") < F.col("n_rows")) & (avg >= 1.5)).alias("is_repetition"))
 
 
+def _beside(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of other, which has one row for each key; missing keys are equal."""
+    o = other.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)], *[f"`{c}`" for c in other.columns if c not in by])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}"))
+    return df.join(o, on, how).drop(*[f"__k{i}" for i in range(len(by))])
+
+
+def _step(cells: DataFrame, want: DataFrame) -> DataFrame:
+    """want (g, at, rank, low, high, found) with narrower open intervals: the rank counts the values within its interval."""
+    within = _within(cells, want)
+    grid = F.percentile_approx("v", [k / POINTS for k in range(POINTS + 1)], ACCURACY).alias("grid")
+    seen = within.groupBy("g", "at").agg(grid, F.count("*").alias("n")).withColumnsRenamed({"g": "__g", "at": "__at"})
+    k = F.floor(F.col("rank") * POINTS / F.col("n")).cast("int")
+    edges = want.join(seen, (F.col("g") == F.col("__g")) & (F.col("at") == F.col("__at"))).select("g", "at", "rank", "low", "high", "found", F.get("grid", k - 1).alias("x"), F.get("grid", k + 2).alias("y"))
+    v, x, y = F.col("v"), F.coalesce("x", F.lit(float("-inf"))), F.coalesce("y", F.lit(float("nan")))
+    counts = [F.count_if(c).alias(name) for name, c in (("lt_x", v < x), ("le_x", v <= x), ("lt_y", v < y), ("le_y", v <= y))]
+    names = ["g", "at", "rank", "low", "high", "found"]
+    sums = _within(cells, edges, "x", "y").groupBy(*names, x.alias("x"), y.alias("y")).agg(*counts)
+    r = F.col("rank")
+    case = lambda *c: F.when(r < F.col("lt_x"), c[0]).when(r < F.col("le_x"), c[1]).when(r < F.col("lt_y"), c[2]).when(r < F.col("le_y"), c[3]).otherwise(c[4])
+    none = F.lit(None).cast("double")
+    new = sums.select("g", "at", (r - case(F.lit(0), r, F.col("le_x"), r, F.col("le_y"))).alias("rank"), case(F.col("low"), none, F.col("x"), none, F.col("y")).alias("low"), case(F.col("x"), none, F.col("y"), none, F.col("high")).alias("high"), case(none, F.col("x"), none, F.col("y"), none).alias("found"))
+    return want.where("found is not null").unionByName(new)
+
+
+def _within(cells: DataFrame, want: DataFrame, *more: str) -> DataFrame:
+    """The values within each open interval that is still looked into, beside it; a missing end is open."""
+    w = want.where("found is null").withColumnRenamed("g", "__g")
+    both = cells.join(w, F.col("g") == F.col("__g")).where("(low is null or v > low) and (high is null or v < high)")
+    return both.select("g", "at", "v", "rank", "low", "high", "found", *more)
+
+
+def _selected(cells: DataFrame, want: DataFrame) -> DataFrame:
+    """g, at, found: the value of each rank among the values (g, v) of its group, whatever their number."""
+    want = _step(cells, want)
+    nth = F.row_number().over(Window.partitionBy("g", "at").orderBy("v")) - 1
+    rest = _within(cells, want).withColumn("nth", nth).where("nth = rank").select("g", "at", F.col("v").alias("found"))
+    return want.where("found is not null").select("g", "at", "found").unionByName(rest)
+
+
+def quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[float], large: int = LARGE_GROUP) -> DataFrame:
+    """One row for each key: of each column the exact quantiles at the shares, interpolated, as `c` (one share) or an array.
+
+    A key of at most `large` rows is aggregated as it is. Of a larger one a mergeable sketch gives an interval that a rank
+    lies in, one count the rank within it, twice; only what is left between is sorted. Its rows stay where they are.
+    """
+    one = lambda c: F.percentile(F.col(f"`{c}`").cast("double"), shares[0] if len(shares) == 1 else shares).alias(c)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
+    if not by or sizes.isEmpty():
+        return df.groupBy(*by).agg(*[one(c) for c in columns])
+    small = _beside(df, sizes, by, "left_anti").groupBy(*by).agg(*[one(c) for c in columns])
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)])
+    each = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
+    cells = _beside(df, sizes, by, "left_semi").select(key.alias("key"), F.inline(F.array(*each))).where("v is not null").select(F.struct("key", "c").alias("g"), "v")
+    spots = cells.groupBy("g").agg(F.count("*").alias("n")).select("g", F.posexplode(F.array(*[(F.col("n") - 1) * F.lit(float(q)) for q in shares])).alias("q", "spot"))
+    none = F.lit(None).cast("double")
+    want = spots.select("g", "spot", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))).alias("rank")).select("g", F.col("rank").alias("at"), "rank", none.alias("low"), none.alias("high"), none.alias("found")).distinct()
+    got = _selected(cells, want)
+    near = spots.join(got.withColumnRenamed("g", "__g"), (F.col("g") == F.col("__g")) & F.abs(F.col("at") - F.col("spot")).__lt__(1))
+    weight = F.when(F.col("at") == F.col("spot"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("spot")))
+    value = near.groupBy("g", "q").agg(F.sum(F.col("found") * weight).alias("x"))
+    whole = value.groupBy("g.key").agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("g.c") == i, F.struct("q", "x")))), lambda s: s["x"]).alias(f"__x{i}") for i in range(len(columns))])
+    out = [F.when(F.size(f"__x{i}") > 0, F.get(f"__x{i}", F.lit(0)) if len(shares) == 1 else F.col(f"__x{i}")).alias(c) for i, c in enumerate(columns)]
+    # keys whose values are all missing have no cells
+    empty = sizes.select(*by, key.alias("__key"))
+    found = empty.join(whole.withColumnRenamed("key", "__found"), F.col("__key") == F.col("__found"), "left")
+    return small.unionByName(found.select(*[f"`{c}`" for c in by], *out))
+
+
 def aggregate(df: DataFrame, by: list[str], columns: list[str], method: str = "mean") -> DataFrame:
     """One row for each key: mean, median, or robust_mean (of values within three scaled median deviations)."""
     if method == "robust_mean":
         return robust_mean(df, by, columns)
-    how = {"mean": F.avg, "median": F.median}[method]
-    return df.groupBy(*by).agg(*[how(F.col(f"`{c}`")).alias(c) for c in columns])
+    if method == "median":
+        return quantiles(df, by, columns, [0.5])
+    return df.groupBy(*by).agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def vote(df: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -28,29 +105,24 @@ def vote(df: DataFrame, by: list[str], label: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(label).alias("label"))).alias("__best")).select(*by, F.col("__best.label").alias(label))
 
 
-def robust_mean(df: DataFrame, by: list[str], columns: list[str], within: float = 3.0) -> DataFrame:
+def robust_mean(df: DataFrame, by: list[str], columns: list[str], within: float = 3.0, large: int = LARGE_GROUP) -> DataFrame:
     """Mean of the values whose distance from the median is at most `within` times 1.4826 times the median distance (all, where that is 0)."""
-    mid = df.groupBy(*by).agg(*[F.median(c).alias(f"__m_{c}") for c in columns])
-    far = df.join(mid, by)
-    spread = far.groupBy(*by).agg(*[F.median(F.abs(F.col(c) - F.col(f"__m_{c}"))).alias(f"__s_{c}") for c in columns])
-    both = far.join(spread, by)
-
-    def kept(c: str) -> Column:
-        s = F.col(f"__s_{c}")
-        return F.when((s == 0) | (F.abs(F.col(c) - F.col(f"__m_{c}")) <= within * 1.4826 * s), F.col(c))
-
-    return both.groupBy(*by).agg(*[F.avg(kept(c)).alias(c) for c in columns])
+    cell = [F.col(f"`{c}`") for c in columns]
+    mid = quantiles(df, by, columns, [0.5], large).withColumnsRenamed({c: f"__m{i}" for i, c in enumerate(columns)})
+    far = _beside(df.select(*[f"`{c}`" for c in by], *cell), mid, by).withColumns({f"__d{i}": F.abs(c - F.col(f"__m{i}")) for i, c in enumerate(cell)})
+    spread = quantiles(far, by, [f"__d{i}" for i in range(len(columns))], [0.5], large).withColumnsRenamed({f"__d{i}": f"__s{i}" for i in range(len(columns))})
+    both = _beside(far, spread, by)
+    kept = [F.when((F.col(f"__s{i}") == 0) | (F.col(f"__d{i}") <= within * 1.4826 * F.col(f"__s{i}")), c) for i, c in enumerate(cell)]
+    return both.groupBy(*by).agg(*[F.avg(k).alias(c) for k, c in zip(kept, columns, strict=True)])
 
 
-def without_outliers(df: DataFrame, by: list[str], columns: list[str], threshold: float = 0.95) -> DataFrame:
+def without_outliers(df: DataFrame, by: list[str], columns: list[str], threshold: float = 0.95, large: int = LARGE_GROUP) -> DataFrame:
     """The rows whose every value lies within the central `threshold` share of its key's values (by quantiles; ties stay)."""
-    low, high = (1 - threshold) / 2, (1 + threshold) / 2
-    bounds = df.groupBy(*by).agg(*[F.percentile(F.col(f"`{c}`"), F.lit(x)).alias(f"__{k}_{i}") for i, c in enumerate(columns) for k, x in (("low", low), ("high", high))])
-    inside = [F.col(f"`{c}`").isNull() | F.col(f"`{c}`").between(F.col(f"__low_{i}"), F.col(f"__high_{i}")) for i, c in enumerate(columns)]
-    rows = df.join(bounds, by)
-    for x in inside:
-        rows = rows.where(x)
-    return rows.drop(*bounds.columns[len(by) :])
+    bounds = quantiles(df, by, columns, [(1 - threshold) / 2, (1 + threshold) / 2], large).withColumnsRenamed({c: f"__b{i}" for i, c in enumerate(columns)})
+    rows = _beside(df, bounds, by)
+    for i, c in enumerate(columns):
+        rows = rows.where(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").between(F.get(f"__b{i}", F.lit(0)), F.get(f"__b{i}", F.lit(1))))
+    return rows.select(*[f"`{c}`" for c in df.columns])
 
 
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:

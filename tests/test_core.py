@@ -1,8 +1,11 @@
+import random
+
+import numpy as np
 import pytest
 
 from loomwright.errors import AssemblyError, DataError, JoinError, SpecError
 from loomwright.infer import detectors
-from loomwright.operators import folds, joins, missing, partitions
+from loomwright.operators import aggregate, folds, joins, missing, partitions
 from loomwright.plans.planner import assemble
 from loomwright.sources import readers
 from loomwright.spec import enums, model, selectors
@@ -187,3 +190,19 @@ def test_library_stands_without_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"(import|from)\s[\w.]*\bllm\b", f.read_text())
+
+
+def test_quantiles_of_large_groups_are_exact(spark):
+    rng = random.Random(3)
+    keys = [1, 1, 1, 2, None]
+    rows = [(rng.choice(keys), rng.choice([None, 0.0, 0.0, round(rng.gauss(0, 1), 2)]), rng.expovariate(1.0)) for _ in range(3000)] + [(7, None, 1.0)] * 3
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    shares = [0.0, 0.1, 0.5, 0.975]
+    got = {r["k"]: r for r in aggregate.quantiles(df, ["k"], ["x", "y"], shares, large=2).collect()}
+    assert set(got) == {1, 2, 7, None}
+    for k in got:
+        for c, at in (("x", 1), ("y", 2)):
+            values = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            assert (got[k][c] is None) if not values else np.allclose(got[k][c], np.quantile(values, shares), rtol=0, atol=1e-12)
+    plain = sorted(map(str, aggregate.without_outliers(df, ["k"], ["x", "y"], 0.9).collect()))
+    assert sorted(map(str, aggregate.without_outliers(df, ["k"], ["x", "y"], 0.9, large=500).collect())) == plain
