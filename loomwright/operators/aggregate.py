@@ -67,9 +67,11 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[flo
     A key of at most `large` rows is aggregated as it is. Of a larger one a mergeable sketch gives an interval that a rank
     lies in, one count the rank within it, twice; only what is left between is sorted. Its rows stay where they are.
     """
+    if not by:
+        return quantiles(df.withColumn("__all", F.lit(0)), ["__all"], columns, shares, large).drop("__all")
     one = lambda c: F.percentile(F.col(f"`{c}`").cast("double"), shares[0] if len(shares) == 1 else shares).alias(c)
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
-    if not by or sizes.isEmpty():
+    if sizes.isEmpty():
         return df.groupBy(*by).agg(*[one(c) for c in columns])
     small = _beside(df, sizes, by, "left_anti").groupBy(*by).agg(*[one(c) for c in columns])
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DataError
+from .aggregate import quantiles
 
 # Spellings of a missing cell, compared in lower case and untrimmed.
 NA_TOKENS = ("", "na", "n/a", "nan", "-nan", "null", "none", "#n/a", "#n/a n/a", "#na", "<na>", "1.#ind", "-1.#ind", "1.#qnan", "-1.#qnan")
@@ -91,6 +92,7 @@ def fill_statistic(df: DataFrame, columns: list[str], method: str, across_folds:
     """Fill by a column's mean or median; as that lets folds see each other, it must be asked for."""
     if not across_folds:
         raise DataError(f"filling by {method} mixes folds; pass across_folds=True to do so")
-    how = F.avg if method == "mean" else F.median
-    row = df.agg(*[how(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in columns]).first()
+    there = df.select(*[F.when(~is_missing(df, c), F.col(f"`{c}`")).alias(c) for c in columns])
+    values = quantiles(there, [], columns, [0.5]) if method == "median" else there.agg(*[F.avg(f"`{c}`").alias(c) for c in columns])
+    row = values.first() or dict.fromkeys(columns)
     return df.withColumns({c: F.when(is_missing(df, c), F.lit(row[c])).otherwise(F.col(f"`{c}`")) for c in columns})
