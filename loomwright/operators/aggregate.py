@@ -61,22 +61,31 @@ def _selected(cells: DataFrame, want: DataFrame) -> DataFrame:
     return want.where("found is not null").select("g", "at", "found").unionByName(rest)
 
 
+def _large_keys(df: DataFrame, by: list[str], large: int) -> DataFrame | None:
+    """The keys of more than `large` rows, if there are any."""
+    keys = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
+    return None if keys.isEmpty() else keys
+
+
 def quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[float], large: int = LARGE_GROUP) -> DataFrame:
     """One row for each key: of each column the exact quantiles at the shares, interpolated, as `c` (one share) or an array.
 
-    A key of at most `large` rows is aggregated as it is. Of a larger one a mergeable sketch gives an interval that a rank
-    lies in, one count the rank within it, twice; only what is left between is sorted. Its rows stay where they are.
+    A key of at most `large` rows is aggregated as it is. Of a larger one a mergeable sketch gives an interval that a
+    rank lies in, and one count the rank within it; only the values between are sorted, about one in 300.
     """
     if not by:
         return quantiles(df.withColumn("__all", F.lit(0)), ["__all"], columns, shares, large).drop("__all")
+    return _quantiles(df, by, columns, shares, _large_keys(df, by, large))
+
+
+def _quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[float], large: DataFrame | None) -> DataFrame:
     one = lambda c: F.percentile(F.col(f"`{c}`").cast("double"), shares[0] if len(shares) == 1 else shares).alias(c)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > large).drop("__n")
-    if sizes.isEmpty():
+    if large is None:
         return df.groupBy(*by).agg(*[one(c) for c in columns])
-    small = _beside(df, sizes, by, "left_anti").groupBy(*by).agg(*[one(c) for c in columns])
+    small = _beside(df, large, by, "left_anti").groupBy(*by).agg(*[one(c) for c in columns])
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)])
     each = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
-    cells = _beside(df, sizes, by, "left_semi").select(key.alias("key"), F.inline(F.array(*each))).where("v is not null").select(F.struct("key", "c").alias("g"), "v")
+    cells = _beside(df, large, by, "left_semi").select(key.alias("key"), F.inline(F.array(*each))).where("v is not null").select(F.struct("key", "c").alias("g"), "v")
     spots = cells.groupBy("g").agg(F.count("*").alias("n")).select("g", F.posexplode(F.array(*[(F.col("n") - 1) * F.lit(float(q)) for q in shares])).alias("q", "spot"))
     none = F.lit(None).cast("double")
     want = spots.select("g", "spot", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))).alias("rank")).select("g", F.col("rank").alias("at"), "rank", none.alias("low"), none.alias("high"), none.alias("found")).distinct()
@@ -87,7 +96,7 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[flo
     whole = value.groupBy("g.key").agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("g.c") == i, F.struct("q", "x")))), lambda s: s["x"]).alias(f"__x{i}") for i in range(len(columns))])
     out = [F.when(F.size(f"__x{i}") > 0, F.get(f"__x{i}", F.lit(0)) if len(shares) == 1 else F.col(f"__x{i}")).alias(c) for i, c in enumerate(columns)]
     # keys whose values are all missing have no cells
-    empty = sizes.select(*by, key.alias("__key"))
+    empty = large.select(*by, key.alias("__key"))
     found = empty.join(whole.withColumnRenamed("key", "__found"), F.col("__key") == F.col("__found"), "left")
     return small.unionByName(found.select(*[f"`{c}`" for c in by], *out))
 
@@ -110,9 +119,10 @@ def vote(df: DataFrame, by: list[str], label: str) -> DataFrame:
 def robust_mean(df: DataFrame, by: list[str], columns: list[str], within: float = 3.0, large: int = LARGE_GROUP) -> DataFrame:
     """Mean of the values whose distance from the median is at most `within` times 1.4826 times the median distance (all, where that is 0)."""
     cell = [F.col(f"`{c}`") for c in columns]
-    mid = quantiles(df, by, columns, [0.5], large).withColumnsRenamed({c: f"__m{i}" for i, c in enumerate(columns)})
+    keys = _large_keys(df, by, large)
+    mid = _quantiles(df, by, columns, [0.5], keys).withColumnsRenamed({c: f"__m{i}" for i, c in enumerate(columns)})
     far = _beside(df.select(*[f"`{c}`" for c in by], *cell), mid, by).withColumns({f"__d{i}": F.abs(c - F.col(f"__m{i}")) for i, c in enumerate(cell)})
-    spread = quantiles(far, by, [f"__d{i}" for i in range(len(columns))], [0.5], large).withColumnsRenamed({f"__d{i}": f"__s{i}" for i in range(len(columns))})
+    spread = _quantiles(far, by, [f"__d{i}" for i in range(len(columns))], [0.5], keys).withColumnsRenamed({f"__d{i}": f"__s{i}" for i in range(len(columns))})
     both = _beside(far, spread, by)
     kept = [F.when((F.col(f"__s{i}") == 0) | (F.col(f"__d{i}") <= within * 1.4826 * F.col(f"__s{i}")), c) for i, c in enumerate(cell)]
     return both.groupBy(*by).agg(*[F.avg(k).alias(c) for k, c in zip(kept, columns, strict=True)])

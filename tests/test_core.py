@@ -206,3 +206,6 @@ def test_quantiles_of_large_groups_are_exact(spark):
             assert (got[k][c] is None) if not values else np.allclose(got[k][c], np.quantile(values, shares), rtol=0, atol=1e-12)
     plain = sorted(map(str, aggregate.without_outliers(df, ["k"], ["x", "y"], 0.9).collect()))
     assert sorted(map(str, aggregate.without_outliers(df, ["k"], ["x", "y"], 0.9, large=500).collect())) == plain
+    mean = {r["k"]: r for r in aggregate.robust_mean(df, ["k"], ["x", "y"]).collect()}
+    for r in aggregate.robust_mean(df, ["k"], ["x", "y"], large=500).collect():
+        assert (r["x"] is None) == (mean[r["k"]]["x"] is None) and (r["x"] or 0, r["y"]) == pytest.approx((mean[r["k"]]["x"] or 0, mean[r["k"]]["y"]), rel=1e-9, abs=1e-12)
