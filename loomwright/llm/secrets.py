@@ -79,9 +79,13 @@ def described(found: DataFrame) -> DataFrame:
     c, near = F.col("candidate"), F.concat_ws(" ", "left_context", "right_context")
     n = F.greatest(F.char_length(c), F.lit(1))
     pairs = letter_pairs()
-    table = F.map_from_arrays(F.lit(list(pairs)), F.lit(list(pairs.values())))
-    # 256 pairs tell as much as all of a very long value
-    moves = F.transform(F.sequence(F.lit(1), F.least(F.greatest(F.char_length(c) - 1, F.lit(1)), F.lit(256))), lambda i: F.coalesce(F.element_at(table, F.lower(F.substring(c, i, F.lit(2)))), F.lit(pairs[""])))
+    # the weight of each pair by the places of its two letters (0: any other), so that a look-up costs the same for any pair
+    letters = "".join(sorted(set("".join(pairs))))
+    table = F.lit([pairs.get(x + y, pairs[""]) for x in ["", *letters] for y in ["", *letters]])
+    # every pair of the value, in one pass: substring() would read a long value from its beginning for each
+    places = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.when(x != "", F.instr(F.lit(letters), F.lower(x))).otherwise(0))
+    most = F.greatest(n - 1, F.lit(1))
+    moves = F.zip_with(F.slice(places, F.lit(1), most), F.slice(places, F.lit(2), most), lambda x, y: F.get(table, x * (len(letters) + 1) + F.coalesce(y, F.lit(0))))
     likely = F.aggregate(moves, F.lit(0.0), lambda a, x: a + x) / F.size(moves)
     count = lambda p, of=c: F.coalesce(F.regexp_count(of, F.lit(p)), F.lit(0))
     columns = {

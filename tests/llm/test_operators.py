@@ -436,6 +436,17 @@ def test_long_secrets_are_found_whole(spark):
     assert {r.doc_id: r.text for r in secrets.redact(table, found).collect()} == {i: t.replace(values[i // 3], "[SECRET]") for i, t in enumerate(texts)}
 
 
+def test_letter_pairs_of_all_of_a_long_value(spark):
+    rng, pairs = random.Random(12), secrets.letter_pairs()
+    noise, said = "".join(rng.choice("QXZJqxzj0123456789") for _ in range(257)), "password" * 40
+    values = ["", "a", "é😀B2", noise[:256], noise, noise + "e", noise + said, noise + noise[::-1], said + noise, said + said, noise + "İÉ😀_" + said, noise * 40 + said * 40]
+    rows = spark.createDataFrame([(i, v, "", "", "") for i, v in enumerate(values)], "doc_id int, candidate string, left_context string, right_context string, path string")
+    got = {r.doc_id: r.likely for r in secrets.described(rows).collect()}
+    plain = lambda v: [pairs.get("".join(map(str.lower, v[i : i + 2])), pairs[""]) for i in range(max(1, len(v) - 1))]
+    assert got == pytest.approx({i: sum(plain(v)) / len(plain(v)) for i, v in enumerate(values)}, rel=1e-9)
+    assert got[6] > got[7] + 0.5 and got[8] < got[9] - 0.5  # equal beginnings, other ends
+
+
 def test_keys_without_a_digit_are_searched(spark):
     keys = [head + "QZBKLMNOPTUVWXYC" for head in ("AKIA", "ASIA")]
     table = spark.createDataFrame([(i, f"the {k} and more", "src") for i, k in enumerate(keys)], "doc_id long, text string, source string")
